@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .packing import best_fit_packing
 from .token_file import token_output
+from .warc import warc_round_trip
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least=0).filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing, op8_warc)}
 
 ORACLES: dict[str, str] = {}
