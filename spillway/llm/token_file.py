@@ -34,7 +34,7 @@ def write_file(uri: str, documents: Iterator[tuple[int | None, bytes]], width: i
     """Write documents (doc_id, ids as bytes); the number of documents and ids. Only bounds and doc ids are held."""
     fs, path = open_fs(uri)
     keys, bounds, at = [], [0], 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         out.write(MAGIC)
         for key, raw in documents:
             out.write(raw)

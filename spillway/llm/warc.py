@@ -223,7 +223,7 @@ def write_archives(pages: DataFrame, folder: str, compress: bool = True, roll: i
                 if not out:
                     name, n, size = f"{folder}/pages-{uuid.uuid4().hex}.warc{'.gz' * compress}", 0, 0
                     fs, path = open_fs(name)
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                 out.write(raw)
                 n += 1
                 size += len(raw)
