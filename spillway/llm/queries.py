@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from . import lines, quality
+from .common import Scratch, table
 from .packing import best_fit_packing
 from .token_file import token_output
 from .warc import warc_round_trip
@@ -19,10 +20,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.quality_rules(rows, Scratch(spark, "quality")).select("doc_id", *quality.METRICS, "base_failed", "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), least=0).filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing, op8_warc)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=True).drop("source")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}

@@ -17,7 +17,7 @@ _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 class Encoder:
     """ids as little-endian bytes, `width` bytes an id. blank: the vocabulary keeps blanks, each before its word."""
 
-    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 1_500_000):
+    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
