@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import lines, quality
+from .ann import nearest
 from .common import Scratch, table
 from .packing import best_fit_packing
 from .token_file import token_output
@@ -33,6 +34,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=True).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup, op10_nearest)}
 
 ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
