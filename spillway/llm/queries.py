@@ -10,6 +10,7 @@ from .ann import nearest
 from .common import Scratch, table
 from .packing import best_fit_packing
 from .token_file import token_output
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -17,6 +18,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -38,6 +43,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup, op10_nearest)}
 
 ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
