@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import lines, quality
 from .ann import nearest
 from .common import Scratch, table
+from .jaccard_join import jaccard_components
 from .packing import best_fit_packing
 from .token_file import token_output
 from .toxicity import toxicity
@@ -18,6 +19,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_jaccard_join, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup, op10_nearest)}
 
 ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
