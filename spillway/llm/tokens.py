@@ -1,77 +1,118 @@
 """Ids of whole texts by the tokenizers library, with a memo of the parts that recur.
 
-Both vocabularies used here split a text at white space before any merge, so the ids of a text
-are those of its parts in order. Parts are looked up; what is new goes to the library in one
-batch. Texts whose white space makes the parts unsure go to the library whole.
+Both kinds of vocabulary used here split a text at white space before any merge, so the ids of a
+text are those of its parts in order. Parts are looked up. A new part that is one word of letters
+goes to the library's model in the form that its normalizer and pre-tokenizer give it; any other
+goes to the library's encode, as do whole texts whose white space makes the parts unsure.
 """
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
+import unicodedata
 
 #: White space other than single blanks and single line feeds inside a line.
 _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
+#: Letters up to here are lowered one by one, whatever their neighbours.
+_LATIN = "ɏ"
+
+
+def _byte_letters() -> list[str]:
+    """The letters by which byte-level vocabularies spell bytes: printable Latin-1 itself, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+_SPELL = _byte_letters()
+
+
+def _spelled(word: str) -> str:
+    return word if word.isascii() else "".join([_SPELL[b] for b in word.encode()])
+
+
+class _Memo(dict):
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, part):
+        self[part] = ids = self.learn(part)
+        return ids
+
 
 class Encoder:
-    """ids as little-endian bytes, `width` bytes an id. blank: the vocabulary keeps blanks, each before its word."""
+    """ids as little-endian bytes, `width` bytes an id. blank: the vocabulary keeps case and blanks, each before its word."""
 
-    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 700_000):
+    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.blank, self.width, self.memo_size = blank, width, memo_size
-        self.memo: dict = {}
-        self.spaced: dict = {}
-        self.dtype = {2: "<u2", 4: "<u4"}[width]
         if width == 2 and self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("two bytes hold no id of this vocabulary")
+        if sys.byteorder != "little":
+            raise ValueError("ids are written as they lie in memory")
+        self.kind = {2: "H", 4: "I"}[width]
+        self._forget()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _forget(self) -> None:
+        self.first = _Memo(self._plain if self.blank else self._word)
+        self.spaced = _Memo(self._after_blank)
 
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, ids) -> bytes:
+        return array.array(self.kind, ids).tobytes()
 
-    def _learn(self, memo: dict, new: set, text_of) -> None:
-        """Encode the new parts; a word and the comma or stop after it are parts of their own to both vocabularies."""
-        words = {x: x[:-1] for x in new if x[-1:] in (b",", b".", ",", ".") and (x[:-1] if self.blank else x[:-1].decode()).isalpha()}
-        ask = [x for x in {words.get(x, x) for x in new} if x not in memo]
-        memo.update(zip(ask, self._library([text_of(x) for x in ask]), strict=True))
-        stops = dict(zip(",.", self._library([",", "."]), strict=True))
-        memo.update({x: memo[w] + stops[x[-1:] if self.blank else x[-1:].decode()] for x, w in words.items()})
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, part: str) -> bytes:
+        return self._library([part])[0]
+
+    def _after_blank(self, part: str) -> bytes:
+        if part.isalpha():
+            return self._bytes([t.id for t in self.model.tokenize(_SPELL[32] + _spelled(part))])
+        if part[-1:] in (",", ".") and part[:-1].isalpha():
+            return self.spaced[part[:-1]] + self.first[part[-1]]
+        return self._plain(" " + part)
+
+    def _word(self, part: bytes) -> bytes:
+        word = part.decode()
+        if word.isalpha() and max(word) <= _LATIN:
+            low = word if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+            if low.isalpha():
+                return self._bytes([t.id for t in self.model.tokenize(_spelled(low))])
+        if part[-1:] in (b",", b".") and word[:-1].isalpha() and "İ" not in word:  # its dot becomes a mark
+            return self.first[part[:-1]] + self.first[part[-1:]]
+        return self._plain(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) + len(self.spaced) > self.memo_size:
-            self.memo, self.spaced = {}, {}
-        return self._blank(texts) if self.blank else self._words(texts)
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        parts = [t.encode().lower().split() for t in texts]
-        memo = self.memo
-        new: set = set()
-        for p in parts:
-            new.update(x for x in p if x not in memo)
-        self._learn(memo, new, bytes.decode)
-        return [b"".join([memo[x] for x in p]) for p in parts]
-
-    def _blank(self, texts: list[str]) -> list[bytes]:
-        memo, spaced = self.memo, self.spaced
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        whole = dict(zip(odd, self._library([texts[i] for i in odd]), strict=True)) if odd else {}
-        lines = [[] if i in whole else [x.split(" ") for x in t.split("\n")] for i, t in enumerate(texts)]
-        new: set = {"\n"} - memo.keys()
-        new_spaced: set = set()
-        for text in lines:
-            for line in text:
-                if line[0] not in memo:
-                    new.add(line[0])
-                new_spaced.update([x for x in line[1:] if x not in spaced])
-        self._learn(memo, new, str)
-        self._learn(spaced, new_spaced, lambda x: " " + x)
-        feed = memo["\n"]
-        return [whole[i] if i in whole else feed.join([memo[x[0]] + b"".join([spaced[y] for y in x[1:]]) for x in text]) for i, text in enumerate(lines)]
+        if len(self.first) + len(self.spaced) > self.memo_size:
+            self._forget()
+        if not self.blank:
+            first = self.first.__getitem__
+            return [b"".join(map(first, t.encode().lower().split())) for t in texts]
+        return [self._lines(t) for t in texts]
+
+    def _lines(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.isprintable() and _ODD.search(text):
+            return self._plain(text)
+        if text[0] in " \n" or text[-1] in " \n":
+            return self._plain(text)
+        first, spaced = self.first, self.spaced.__getitem__
+        lines = []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            lines.append(first[head] + b"".join(map(spaced, rest)))
+        return first["\n"].join(lines)
 
 
 _ENCODERS: dict = {}
@@ -86,7 +127,7 @@ def encoder(path: str, blank: bool, width: int) -> Encoder:
 
 
 def batches(it, rows: int = 2000, chars: int = 4 << 20):
-    """Arrow batches cut into lists of at most so many rows and, but for a single text, so many bytes of text: (batch, first, last, texts)."""
+    """Arrow batches cut into lists of at most so many rows and, but for a single text, so many characters: (batch, first, last, texts)."""
     for batch in it:
         texts = batch.column("text")
         first, size, held = 0, 0, []
