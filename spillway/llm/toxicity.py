@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_bucket
 
-SAMPLE = 6_000
+SAMPLE = 3_000
 LANDMARKS = 96
 LAM = 0.6
 SPAN = 5
@@ -211,12 +211,16 @@ def _choose(texts: list[str], labels: list[int], count: int) -> list[str]:
     rate = sum(bad.values()) / sum(df.values())
     sure = lambda k, n: (k - rate * n) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))  # noqa: E731  the excess in standard deviations
     n_all, n_bad = np.zeros(1 << 15), np.zeros(1 << 15)
-    of, keys, _ = _occurrences(every)
-    np.add.at(n_all, keys, np.array([df[w] for w in every], float)[of])
-    np.add.at(n_bad, keys, np.array([bad.get(w, 0) for w in every], float)[of])
+    for i in range(0, len(every), 10_000):
+        some = every[i : i + 10_000]
+        of, keys, _ = _occurrences(some)
+        n_all += np.bincount(keys, np.array([df[w] for w in some], float)[of], 1 << 15)
+        n_bad += np.bincount(keys, np.array([bad.get(w, 0) for w in some], float)[of], 1 << 15)
     excess = np.where(n_all >= 20, sure(n_bad, n_all), 0) * np.where(n_bad > 2 * rate * n_all, 1, 0)
-    of, keys, weights = _occurrences(words)
-    by_parts = np.bincount(of, excess[keys] * weights, len(words)) / np.bincount(of, weights, len(words))
+    by_parts = np.zeros(len(words))
+    for i in range(0, len(words), 10_000):
+        of, keys, weights = _occurrences(some := words[i : i + 10_000])
+        by_parts[i : i + 10_000] = np.bincount(of, excess[keys] * weights, len(some)) / np.bincount(of, weights, len(some))
     by_itself = sure(np.array([bad[w] for w in words], float), np.array([df[w] for w in words], float))
     by_itself *= np.array([bad[w] >= 5 and bad[w] > 3 * rate * df[w] for w in words])
     rank = np.maximum(by_itself, 2 * by_parts)
@@ -261,7 +265,10 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
         return Machine([])
     machine = Machine(_choose(texts, labels, landmarks))
     y = np.array(labels)
-    got = [r for i in range(0, len(texts), 500) for r in machine.sentences(texts[i : i + 500])]
+    got = []
+    for i in range(0, len(texts), 200):
+        got += machine.sentences(texts[i : i + 200])
+        machine.memo = {}
     zz = np.array([[machine.kernel([w]).get(w, np.zeros(len(machine.landmarks)))] for w in machine.landmarks])[:, 0, :]
     value, vector = np.linalg.eigh((zz + zz.T) / 2)
     root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
