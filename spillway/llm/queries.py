@@ -9,6 +9,7 @@ from . import lines, quality
 from .ann import nearest
 from .common import Scratch, table
 from .jaccard_join import jaccard_components
+from .lm_score import lm_scores
 from .packing import best_fit_packing
 from .token_file import token_output
 from .toxicity import toxicity
@@ -36,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(rows, Scratch(spark, "quality")).select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), least=0).filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -48,6 +53,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_jaccard_join, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op8_warc, op9_line_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_jaccard_join, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op7_lm_score, op8_warc, op9_line_dedup, op10_nearest)}
 
 ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
