@@ -1,3 +1,63 @@
-STAGES=[]
-ORACLE_SQL=None
-run=None
+"""The corpus pipeline: from documents to packed sequences.
+
+Each stage reads the table that the one before it wrote. All but the last return the columns of
+documents; the last returns a row for each packed piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spillway.llm.common import Scratch, table
+from spillway.llm.jaccard_join import keep_one
+from spillway.llm.lines import line_dedup
+from spillway.llm.packing import best_fit_packing
+from spillway.llm.quality import quality_filter
+from spillway.llm.toxicity import toxicity_filter
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those predicted toxic; the machine learns from the labels of this stage's documents."""
+    return toxicity_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that keep the rules of documents and hosts."""
+    return quality_filter(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that their hosts repeat; n_chars follows the text."""
+    out = line_dedup(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the least doc_id."""
+    return keep_one(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents' pieces, packed into sequences of 2048 ids."""
+    return best_fit_packing(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality_rules", quality_rules),
+    ("line_dedup", lines),
+    ("jaccard_join", jaccard_join),
+    ("best_fit_packing", packing),
+]
+
+#: SQL can't express the kernel machine nor the tokenizer.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
