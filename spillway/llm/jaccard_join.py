@@ -44,6 +44,9 @@ PARTS = 4
 #: Rounds in which prefix lists meet one member; what is left after them is met in full.
 ROUNDS = 3
 
+#: Longs of a set's bitmap: the parity of its n-grams' number in each of 64 * BITS cells.
+BITS = 8
+
 #: Members of a prefix list that one task meets with the others.
 BLOCK = 1_000
 
@@ -146,8 +149,14 @@ def document_table(docs: DataFrame, scratch: Scratch, words: int = WORDS, percen
     return scratch.save(summed.groupBy("batch").applyInArrow(judge, _DOCS), "documents")
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many n-grams as their bitmaps in cells."""
+    odd = np.bincount((hashes % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, n_wanted: int, words: int) -> DataFrame:
-    """(rid, n, part, hashes): the sets of the wanted classes (rid, class, doc_id of one member) in PARTS ranges of the hash order."""
+    """(rid, n, part, hashes, bits): the sets of the wanted classes (rid, class, doc_id of one member) in PARTS ranges of the hash order; part 0 has the bitmap."""
     side = F.broadcast(wanted) if 48 * n_wanted <= BROADCAST_BYTES else wanted
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(side, "doc_id")
 
@@ -159,12 +168,12 @@ def _segments(docs: DataFrame, wanted: DataFrame, n_wanted: int, words: int) ->
                 if digest(s) != cls:
                     continue
                 part = fragment_of(s, PARTS)
-                rows += [(rid, len(s), k, s[part == k].view(np.int64)) for k in range(PARTS)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["rid", "n", "part", "hashes"])
+                rows += [(rid, len(s), k, s[part == k].view(np.int64), None if k else bitmap(s)) for k in range(PARTS)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["rid", "n", "part", "hashes", "bits"])
 
-    return texts.mapInArrow(make, "rid long, n long, part int, hashes array<long>").dropDuplicates(["rid", "part"])
+    return texts.mapInArrow(make, "rid long, n long, part int, hashes array<long>, bits array<long>").dropDuplicates(["rid", "part"])
 
 
 def prefixes(segments: DataFrame, percent: int) -> DataFrame:
@@ -194,6 +203,28 @@ def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.filter((100 + percent) * F.col("o") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
+def _all_pairs(lists: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """Members (h, rid, n, pos, label) of a list with those of other labels, each pair in the first list that it shares.
+
+    Lists are met in blocks of members, so that a long one takes many tasks. Pairs whose sizes,
+    places or bitmaps leave no room for enough overlap go before any set is read.
+    """
+    cells = segments.filter("part = 0").select("rid", *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)])
+    lists = lists.join(cells, "rid")
+    own = lists.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("own"))
+    sized = lists.join(lists.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "h").join(own, "rid")
+    bits = [f"b{i}" for i in range(BITS)]
+    left = sized.withColumn("s", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).drop("blocks")
+    right = sized.select("h", *[F.col(c).alias(f"{c}2") for c in ("rid", "n", "pos", "label", "own", *bits)], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
+    both = left["n"] + right["n2"]
+    apart = sum((F.bit_count(left[b].bitwiseXOR(right[f"{b}2"])) for b in bits), F.lit(0))
+    most = F.least(left["n"] - left["pos"], right["n2"] - right["pos2"])
+    room = ((100 + percent) * most >= percent * both) & ((100 + percent) * (both - apart) >= 2 * percent * both)
+    first = F.element_at(F.array_intersect(left["own"], right["own2"]), 1) == left["h"]
+    keys = (left["h"] == right["h"]) & (left["s"] == right["s"])
+    return left.join(right, keys & (left["rid"] < right["rid2"]) & (left["label"] != right["label2"]) & room & first).drop(right["h"], right["s"])
+
+
 def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(u, label) of classes, by the hash of their digest, in components of two or more."""
     able = table.filter("able").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -203,7 +234,6 @@ def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORD
     edges = scratch.spark.createDataFrame([], "a long, b long")
     seen = scratch.spark.createDataFrame([], "a long, b long")
     labels = None
-    other = lambda df: df.select("h", F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), *[F.col("label").alias("label2")] * ("label" in df.columns))
     for k in range(rounds + 1):
         if labels is None:
             open_lists = lists.withColumn("label", F.col("rid"))
@@ -218,10 +248,7 @@ def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORD
             hub = open_lists.groupBy("h").agg(F.min_by(F.struct(F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2")), pick).alias("x")).select("h", "x.*")
             met = open_lists.join(hub, "h")
         else:
-            blocks = open_lists.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-            sized = open_lists.join(blocks, "h")
-            right = other(sized.drop("blocks")).join(blocks, "h").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-            met = sized.withColumn("s", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).drop("blocks").join(right, ["h", "s"]).filter("rid < rid2")
+            met = _all_pairs(open_lists, segments, percent)
         fresh = met.filter((F.col("label") != F.col("label2")) & _possible(percent)).select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
         fresh = scratch.save(fresh.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
         seen = seen.unionByName(fresh)
