@@ -100,6 +100,12 @@ class Encoder:
             return [b"".join(map(first, t.encode().lower().split())) for t in texts]
         return [self._lines(t) for t in texts]
 
+    def words(self, parts: list[bytes]) -> list[bytes]:
+        """ids of each part of a text that was cut at ASCII's white space, A to Z lowered; for a vocabulary without blanks."""
+        if len(self.first) > self.memo_size:
+            self._forget()
+        return list(map(self.first.__getitem__, parts))
+
     def _lines(self, text: str) -> bytes:
         if not text:
             return b""
