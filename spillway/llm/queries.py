@@ -11,6 +11,7 @@ from .common import Scratch, table
 from .jaccard_join import jaccard_components
 from .lm_score import lm_scores
 from .packing import best_fit_packing
+from .sentencepiece_codec import sentencepiece_round_trip
 from .token_file import token_output
 from .toxicity import toxicity
 from .warc import warc_round_trip
@@ -28,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -53,6 +58,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_jaccard_join, op3_toxicity, op5_best_fit_packing, op6_quality_rules, op7_lm_score, op8_warc, op9_line_dedup, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_jaccard_join, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_quality_rules, op7_lm_score, op8_warc, op9_line_dedup, op10_nearest)}
 
 ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
