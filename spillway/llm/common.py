@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, open_fs, shared_dir
+
+__all__ = ["BROADCAST_BYTES", "Scratch", "claim", "doc_bucket", "open_fs", "shared_dir", "shuffle_partitions", "skew_lookup", "table"]
+
 #: Sides up to this many bytes are broadcast; larger ones go through a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -15,58 +18,20 @@ BROADCAST_BYTES = 16 << 20
 HOT_PART = 0.005
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spillway-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found or found.startswith("file:") else "file://" + found
-
-
-class Scratch:
-    """Tables and files of one run in a folder of its own below the shared folder.
+_OWNER: list = [None, None]
 
-    Tables are committed by Spark's own writer, so tasks that are run again after the loss of
-    an executor leave no doubled rows. A result that is read lazily keeps its folder; it goes
-    with the shared folder, or by drop().
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def folder(self, name: str) -> str:
-        """A new folder for files that tasks write themselves."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-        return self.path(name)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return it read back: this cuts the lineage."""
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+def claim(owner: object, forget: Callable[[], object]) -> None:
+    """Say that owner's memo is in use in this worker process. A worker serves many stages; the memo
+    of another owner is emptied, so that one at a time takes memory."""
+    if _OWNER[0] is not owner:
+        if _OWNER[1]:
+            _OWNER[1]()
+        _OWNER[:] = [owner, forget]
 
-    def drop(self, *names: str) -> None:
-        for name in names or ("",):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def open_fs(uri: str):
-    """(file system, path) of a shared folder, for files that Spark's writers can't make."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -91,6 +56,6 @@ def skew_lookup(big: DataFrame, small: DataFrame, key: str, columns: list[str],
     least = max(1000, int(total * HOT_PART))
     hot = small.filter(F.col(rows) >= least).select(F.col(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in columns])
     cold = small.filter(F.col(rows) < least).select(F.col(key), F.lit(0).cast("long").alias("_s"), *columns)
-    spread = F.when(F.col("_hot") | F.col(key).isNull(), F.xxhash64(row_key) | F.lit(1)).otherwise(F.lit(0)).cast("long")
+    spread = F.when(F.col("_hot") | F.col(key).isNull(), F.xxhash64(row_key).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
     out = big.join(F.broadcast(hot), key, "left").withColumn("_s", spread).join(cold, [key, "_s"], "left")
     return out.select(*[F.col(c) for c in big.columns], *[F.coalesce(f"_h_{c}", c).alias(c) for c in columns])

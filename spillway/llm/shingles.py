@@ -7,6 +7,8 @@ import hashlib
 import numpy as np
 import xxhash
 
+from .common import claim
+
 #: Odd multipliers, and those of the finalizer.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -26,7 +28,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_hashes(words: list[bytes], limit: int = 700_000) -> np.ndarray:
+def word_hashes(words: list[bytes], limit: int = 400_000) -> np.ndarray:
+    claim(_HASHES, _HASHES.clear)
     if len(_HASHES) > limit:
         _HASHES.clear()
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))

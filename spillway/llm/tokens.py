@@ -14,6 +14,8 @@ import re
 import sys
 import unicodedata
 
+from .common import claim
+
 #: White space other than single blanks and single line feeds inside a line.
 _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
@@ -48,7 +50,7 @@ class _Memo(dict):
 class Encoder:
     """ids as little-endian bytes, `width` bytes an id. blank: the vocabulary keeps case and blanks, each before its word."""
 
-    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 500_000):
+    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -129,7 +131,9 @@ def encoder(path: str, blank: bool, width: int) -> Encoder:
     key = (path, blank, width)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+    found = _ENCODERS[key]
+    claim(found, found._forget)
+    return found
 
 
 def batches(it, rows: int = 2000, chars: int = 4 << 20):

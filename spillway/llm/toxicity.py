@@ -24,14 +24,14 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_bucket
+from .common import claim, doc_bucket
 
 SAMPLE = 3_000
 LANDMARKS = 96
@@ -39,7 +39,7 @@ LAM = 0.6
 SPAN = 5
 LEAST = 0.45
 POWER = 3
-MEMO = 600_000
+MEMO = 400_000
 
 #: Words longer than this are seen through windows of it, moved by half.
 WINDOW = 24
@@ -177,8 +177,9 @@ class Machine:
 
     def sentences(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
         """Of each text: its words' number, and a row of values for each sentence that has any."""
+        claim(self.memo, self.memo.clear)
         if len(self.memo) > MEMO:
-            self.memo = {}
+            self.memo.clear()
         split = [[words_of(s) for s in _SENTENCES.split(t)] for t in texts]
         new: set[str] = set()
         for text in split:
@@ -192,7 +193,7 @@ class Machine:
                 near = [x for x in [memo[w] for w in s] if x is not None]
                 if near:
                     rows.append(np.max(near, axis=0))
-            out.append((sum(map(len, text)), np.array(rows).reshape(-1, len(self.landmarks))))
+            out.append((sum(map(len, text)), np.array(rows).reshape(len(rows), len(self.landmarks))))
         return out
 
     def margin(self, rows: np.ndarray) -> float:
@@ -208,7 +209,7 @@ def _choose(texts: list[str], labels: list[int], count: int) -> list[str]:
     seen = [{f for s in _SENTENCES.split(t) for w in words_of(s) if 2 < len(f := fold(w)) <= WINDOW} for t in texts]
     df, bad = Counter(w for x in seen for w in x), Counter(w for x, y in zip(seen, labels, strict=True) if y for w in x)
     every, words = sorted(df), sorted(bad)
-    rate = sum(bad.values()) / sum(df.values())
+    rate = (sum(bad.values()) + 1) / (sum(df.values()) + 2)
     sure = lambda k, n: (k - rate * n) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))  # noqa: E731  the excess in standard deviations
     n_all, n_bad = np.zeros(1 << 15), np.zeros(1 << 15)
     for i in range(0, len(every), 10_000):
@@ -264,11 +265,13 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
     if len(set(labels)) < 2:
         return Machine([])
     machine = Machine(_choose(texts, labels, landmarks))
+    if not machine.landmarks:
+        return machine
     y = np.array(labels)
     got = []
     for i in range(0, len(texts), 200):
         got += machine.sentences(texts[i : i + 200])
-        machine.memo = {}
+        machine.memo.clear()
     zz = np.array([[machine.kernel([w]).get(w, np.zeros(len(machine.landmarks)))] for w in machine.landmarks])[:, 0, :]
     value, vector = np.linalg.eigh((zz + zz.T) / 2)
     root = vector @ np.diag(np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0)) @ vector.T
@@ -285,7 +288,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
     machine.beta, machine.bias = root @ w, bias
     margins = np.array([machine.margin(rows) for _, rows in got])
     machine.slope = tuple(_logistic(np.c_[margins, [math.log1p(n) for n, _ in got]], y.astype(float)))
-    machine.memo = {}
+    machine.memo.clear()
     return machine
 
 
@@ -299,35 +302,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return train([r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
-_MACHINES: dict = {}
-
-
-def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and score."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, machine: Machine):
+    """A function of text columns. Only texts go to Python and scores come back; the rows wait in the JVM."""
     held = spark.sparkContext.broadcast(machine)
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add("score", "double")
 
-    def apply(it):
-        own = held.value
-        for batch in it:
-            texts = batch.column("_text")
-            kept = batch.select([i for i, c in enumerate(batch.schema.names) if c != "_text"])
-            scores: list[float] = []
-            for i in range(0, batch.num_rows, 500):
-                scores += own.scores([t or "" for t in texts[i : i + 500].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*keep, "score"])
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            texts = [t or "" for t in texts]
+            yield pd.Series([x for i in range(0, len(texts), 500) for x in held.value.scores(texts[i : i + 500])], dtype="float64")
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
-    out = score(docs.withColumn("doc_id", F.col("doc_id").cast("long")), fit(docs, labels, sample), ["doc_id"])
+    score = scorer(docs.sparkSession, fit(docs, labels, sample))
+    out = docs.select(F.col("doc_id").cast("long"), score("text").alias("score"))
     return out.select("doc_id", (doc_bucket() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """docs without those that are predicted toxic."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return score(rows, fit(docs, labels, sample), ["_row"]).filter(~(F.col("score") >= threshold)).select("_row.*")
+    score = scorer(docs.sparkSession, fit(docs, labels, sample))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), score("text").alias("_score"))
+    return rows.filter(F.col("_score") < threshold).select("_row.*")
