@@ -26,6 +26,9 @@ from .eliasfano import EliasFano
 from .tokens import batches, encoder
 
 MAGIC = b"SPWTOK01"
+
+#: Bytes of text in a file, at most on average; there is a file a partition.
+PART_BYTES = 256 << 20
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -120,7 +123,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, blan
         n, tokens = write_file(name, (x for y in ([head], some) for x in y), width)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_docs": [n], "n_tokens": [tokens]})
 
-    n = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // PART_BYTES))
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, *by).sortWithinPartitions(*by)
     return ranged.mapInArrow(write, MANIFEST)

@@ -132,6 +132,8 @@ class Salvage:
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not re.fullmatch(r"WARC/\d\.\d", lines[0]) or not found:
             raise Damaged("no version line or no end of headers")
+        if any(":" not in x and not x.startswith((" ", "\t")) for x in lines[1:]):
+            raise Damaged("bad header line")
         headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
         if not re.fullmatch(r"\d+", headers.get("content-length", "")):
             raise Damaged("no content length")
