@@ -38,9 +38,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from .operators.generate import make_test_file
-    from .operators.sort import external_sort
-    from .operators.verify import check_result
+    from .operators.generate import write_test_data
+    from .operators.sort import sort_file
+    from .operators.verify import check_file
     from .plans.planning import sort_plan
     from .session import local_session
     from .sources import read_fixedbin
@@ -54,11 +54,11 @@ def main(argv: list[str] | None = None) -> int:
             if a.command == "sort":
                 options = Options(dtype=a.dtype, algorithm=a.algorithm, memory_bytes=a.memory)
                 LOG.info("%s", sort_plan(sum(n for _, n in input_files(a.input)), options))
-                external_sort(spark, a.input, a.output, options, assemble=not a.parts)
+                sort_file(spark, a.input, a.output, options, assemble=not a.parts)
             elif a.command == "generate":
-                LOG.info("checksum: %s", make_test_file(spark, a.output, a.bytes, a.kind, a.dtype, a.seed, a.hash))
+                LOG.info("checksum: %s", write_test_data(spark, a.output, a.bytes, a.kind, a.dtype, a.seed, a.hash))
             elif a.command == "check":
-                found = check_result(spark, a.input, a.output, a.dtype, a.hash if a.mode == "hash" else None)
+                found = check_file(spark, a.input, a.output, a.dtype, a.hash if a.mode == "hash" else None)
                 LOG.info("%s", found)
                 return int(not found["ok"])
             else:

@@ -36,7 +36,7 @@ def uniform(spark: SparkSession, n: int, seed: int, dtype: str = "u32") -> DataF
     return spark.range(n).select((high.cast("decimal(20,0)") * F.lit(1 << 32) + low).cast(kind.spark).alias("value"))
 
 
-def make_test_file(spark: SparkSession, path: str, size: int, kind: str = "shuffle", dtype: str = "u32", seed: int = 1, hash_path: str | None = None, mode: str = "overwrite") -> str | None:
+def write_test_data(spark: SparkSession, path: str, size: int, kind: str = "shuffle", dtype: str = "u32", seed: int = 1, hash_path: str | None = None, mode: str = "overwrite") -> str | None:
     """Write `size` bytes of test data; for a shuffled sequence also the checksum of it in order, returned in hex."""
     from ..sources import write_fixedbin
 

@@ -91,7 +91,7 @@ def array_sort_by(values: Column, less) -> Column:
     return F.array_sort(values, lambda a, b: F.when(less(a, b), -1).when(less(b, a), 1).otherwise(0))
 
 
-def external_sort(spark: SparkSession, source: str, target: str, options=None, assemble: bool = True, mode: str = "overwrite") -> None:
+def sort_file(spark: SparkSession, source: str, target: str, options=None, assemble: bool = True, mode: str = "overwrite") -> None:
     """A file of fixed-width integers to an ascending file of equal size; the input stays as it is."""
     from ..plans.planning import chunk_bytes
     from ..sources import read_fixedbin, write_fixedbin

@@ -100,7 +100,7 @@ def read_hash(path: str) -> str:
     return c.hex64(int.from_bytes(raw, "little"))
 
 
-def check_result(spark: SparkSession, source: str, target: str, dtype: str = "u32", hash_path: str | None = None) -> dict:
+def check_file(spark: SparkSession, source: str, target: str, dtype: str = "u32", hash_path: str | None = None) -> dict:
     """Whether target is what a sort of source should give: equal size and ascending, or equal to the kept checksum."""
     from ..sources import read_fixedbin
     from ..sources.fixedbin import input_files

@@ -38,10 +38,10 @@ def test_sorts_files(spark, tmp_path, name):
     values = PATTERNS[name]
     source = _put(tmp_path / "input", values)
     before = hashlib.sha256(open(source, "rb").read()).hexdigest()
-    sort.external_sort(spark, source, str(tmp_path / "output"), Options(memory_bytes=4096 * 8))
+    sort.sort_file(spark, source, str(tmp_path / "output"), Options(memory_bytes=4096 * 8))
     assert _read(tmp_path / "output") == sorted(values)
     assert hashlib.sha256(open(source, "rb").read()).hexdigest() == before
-    assert verify.check_result(spark, source, str(tmp_path / "output"))["ok"]
+    assert verify.check_file(spark, source, str(tmp_path / "output"))["ok"]
 
 
 @pytest.mark.parametrize("name", DTYPES)
@@ -50,7 +50,7 @@ def test_types_round_trip(spark, tmp_path, name):
     values = [kind.most, kind.least, 1, 0, 5, kind.least + 1, kind.most - 1]
     source = _put(tmp_path / "input", values, kind.layout)
     for algorithm in ("heap", "std", "radix"):
-        sort.external_sort(spark, source, str(tmp_path / algorithm), Options(dtype=name, algorithm=algorithm))
+        sort.sort_file(spark, source, str(tmp_path / algorithm), Options(dtype=name, algorithm=algorithm))
         assert _read(tmp_path / algorithm, kind.layout) == sorted(values)
     assert spark.conf.get("spark.sql.sort.enableRadixSort") == "true"
 
@@ -90,24 +90,24 @@ def test_errors(spark, tmp_path):
 
 def test_verifier_sees_disorder(spark, tmp_path):
     source, bad = _put(tmp_path / "input", [1, 2, 3]), _put(tmp_path / "bad", [1, 3, 2])
-    found = verify.check_result(spark, source, bad)
+    found = verify.check_file(spark, source, bad)
     assert not found["ok"] and found["inversions"] == 1
-    assert not verify.check_result(spark, source, _put(tmp_path / "short", [1, 2]))["ok"]
+    assert not verify.check_file(spark, source, _put(tmp_path / "short", [1, 2]))["ok"]
 
 
 def test_generate_sort_check(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("input", "output", "origin.hash")]
-    crc = generate.make_test_file(spark, paths[0], 80_000, hash_path=paths[2], seed=3)
+    crc = generate.write_test_data(spark, paths[0], 80_000, hash_path=paths[2], seed=3)
     assert crc == "b4a38509293b0599" and os.path.getsize(paths[2]) == 8
-    sort.external_sort(spark, paths[0], paths[1])
-    assert verify.check_result(spark, paths[0], paths[1], hash_path=paths[2])["ok"]
-    assert not verify.check_result(spark, paths[0], paths[0], hash_path=paths[2])["ok"]
-    generate.make_test_file(spark, str(tmp_path / "r"), 4000, kind="random")
+    sort.sort_file(spark, paths[0], paths[1])
+    assert verify.check_file(spark, paths[0], paths[1], hash_path=paths[2])["ok"]
+    assert not verify.check_file(spark, paths[0], paths[0], hash_path=paths[2])["ok"]
+    generate.write_test_data(spark, str(tmp_path / "r"), 4000, kind="random")
     assert read_fixedbin(spark, str(tmp_path / "r")).count() == 1000
     with pytest.raises(ValueError):
         generate.sequence(spark, 2**32 + 1)
     with pytest.raises(ValueError):
-        generate.make_test_file(spark, str(tmp_path / "x"), 40, kind="random", hash_path=paths[2])
+        generate.write_test_data(spark, str(tmp_path / "x"), 40, kind="random", hash_path=paths[2])
 
 
 def test_command_line(spark, tmp_path, monkeypatch):
