@@ -1,8 +1,10 @@
 """Query results against DuckDB's on the same tables."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata"
 
@@ -16,9 +18,9 @@ def connect(sf: str):
 
 def _rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
-        return round(float(v), 9) if isinstance(v, float) else str(v)
+        return round(float(v), 9) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return sorted((tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False)), key=str)
 
