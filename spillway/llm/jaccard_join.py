@@ -8,10 +8,10 @@ set. For the few that remain, n-grams are ordered rarest first, documents that s
 prefixes become candidates unless their sizes and places rule them out, and the overlap of each
 candidate pair is counted fragment by fragment and summed per pair.
 
-Components need no link twice: a prefix list first meets one member of it, then others while that
-joins anything; only members that are still in different components after that meet each other. So
-a group of thousands of copies costs a few comparisons for each copy, and no link between different
-texts that could join two components is left out.
+Components need no link twice: a prefix list first meets one member of it; only members that are
+still in different components after that meet each other. So a group of thousands of copies costs a few
+comparisons for each copy, and no link between different texts that could join two components is
+left out.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a null doc_id links
 with nothing and has a null component; repeated rows are in one component, rows that share a
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, shuffle_partitions, skew_lookup
-from .components import components
+from .components import joined
 from .shingles import digest, fragment_of, shingle_hashes, words_of
 from .tokens import batches
 
@@ -42,7 +42,7 @@ FRAGMENT_BYTES = 32 << 20
 PARTS = 4
 
 #: Rounds in which prefix lists meet one member; what is left after them is met in full.
-ROUNDS = 3
+ROUNDS = 1
 
 #: Longs of a set's bitmap: the parity of its n-grams' number in each of 64 * BITS cells.
 BITS = 8
@@ -64,7 +64,7 @@ def _deal(docs: DataFrame, fragments: int, words: int, percent: int) -> DataFram
         key = TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in _DEALT.split(", ")]
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        for batch, first, last, texts in batches(it, rows=20_000, chars=8 << 20):
+        for batch, first, last, texts in batches(it, rows=20_000, chars=5 << 20):
             sets = [shingle_hashes(words_of(t), words) for t in texts]
             sizes = np.array([len(s) for s in sets], "<u4")
             classes = [digest(s) for s in sets]
@@ -231,18 +231,13 @@ def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORD
     wanted = scratch.save(able.withColumn("rid", F.xxhash64("class")), "wanted")
     segments = scratch.save(_segments(docs, wanted, wanted.count(), words), "segments")
     lists = scratch.save(prefixes(segments, percent), "lists")
-    edges = scratch.spark.createDataFrame([], "a long, b long")
-    seen = scratch.spark.createDataFrame([], "a long, b long")
     labels = None
     for k in range(rounds + 1):
         if labels is None:
             open_lists = lists.withColumn("label", F.col("rid"))
         else:
             marked = lists.join(labels.withColumnRenamed("u", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-            open_lists = marked.join(marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h"), "h", "left_semi")
-        open_lists = scratch.save(open_lists, f"open-{k}")
-        if open_lists.isEmpty():
-            break
+            open_lists = scratch.save(marked.join(marked.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h"), "h", "left_semi"), f"open-{k}")
         if k < rounds:
             pick = F.xxhash64("rid", F.lit(k)) if k else F.col("rid")
             hub = open_lists.groupBy("h").agg(F.min_by(F.struct(F.col("rid").alias("rid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2")), pick).alias("x")).select("h", "x.*")
@@ -250,13 +245,9 @@ def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORD
         else:
             met = _all_pairs(open_lists, segments, percent)
         fresh = met.filter((F.col("label") != F.col("label2")) & _possible(percent)).select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
-        fresh = scratch.save(fresh.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
-        seen = seen.unionByName(fresh)
-        found = scratch.save(_verify(fresh, segments, percent), f"edges-{k}")
-        if found.isEmpty():
-            continue
-        edges = edges.unionByName(found)
-        labels = scratch.save(components(edges, scratch, f"components-{k}"), f"labels-{k}")
+        found = scratch.save(_verify(scratch.save(fresh, f"pairs-{k}"), segments, percent), f"edges-{k}")
+        if not found.isEmpty():
+            labels = joined(labels, found, scratch, f"components-{k}")
     return labels if labels is not None else scratch.spark.createDataFrame([], "u long, label long")
 
 
@@ -281,7 +272,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
-    """docs with one document of each component: that with the least doc_id; of its repeated rows one stays."""
+    """docs with one document of each component: that with the least doc_id; of its repeated rows one stays.
+    Documents without words or without a doc_id all stay."""
     scratch = Scratch(docs.sparkSession, "kept")
     members = scratch.save(_members(docs, words, percent, fragment_bytes).filter("first is not null and doc_id is not null").select("doc_id", "text_key", "first"), "members")
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
@@ -295,3 +287,15 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragme
         twice = kept.join(side(again), ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.first("_row").alias("_row"))
         kept = kept.join(side(again), ["doc_id", "text_key"], "left_anti").select("_row").unionByName(twice.select("_row"))
     return kept.select("_row.*")
+
+
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words] ELSE list_transform(range(1, len(words) - 3), lambda i: words[i : i + 4]) END) AS gram FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id
+"""
