@@ -79,10 +79,10 @@ def _deal(docs: DataFrame, fragments: int, words: int, percent: int) -> DataFram
             order = np.argsort(part, kind="stable")
             flat, of, part = flat[order], of[order], part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
-            prints = np.frombuffer(b"".join(classes), "<u4")[::4]
+            prints = np.frombuffer(b"".join(classes), "<u8")[::2]
             for hashes, own, f in zip(np.split(flat, cuts), np.split(of, cuts), part[np.r_[0, cuts]] if len(part) else [], strict=False):
                 who, counts = np.unique(own, return_counts=True)
-                rows.append((int(f), key, None, None, prints[who].astype("<u4").tobytes(), who.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), hashes.astype("<u4").tobytes()))
+                rows.append((int(f), key, None, None, prints[who].astype("<u8").tobytes(), who.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), hashes.astype("<u4").tobytes()))
             key += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -95,7 +95,7 @@ def _shared(group: pa.Table) -> pa.Table:
     if group.column("fragment")[0].as_py() < 0:
         return group.select(names)
     column = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(c)]
-    docs, counts, prints, hashes = column("docs", "<u2"), column("counts", "<u4"), column("classes", "<u4"), column("hashes", "<u4")
+    docs, counts, prints, hashes = column("docs", "<u2"), column("counts", "<u4"), column("classes", "<u8"), column("hashes", "<u4")
     flat = np.concatenate(hashes)
     slots = np.concatenate(counts)
     owner = np.repeat(np.arange(len(slots), dtype=np.int32), slots)
@@ -142,8 +142,7 @@ def document_table(docs: DataFrame, scratch: Scratch, words: int = WORDS, percen
         known = np.unpackbits(np.frombuffer(head["ids"][:bits], np.uint8))[:n].astype(bool)
         ids, keys = np.split(np.frombuffer(head["ids"][bits:], "<i8"), 2)
         classes = [head["classes"][16 * i : 16 * i + 16] if sizes[i] else None for i in range(n)]
-        # two n-grams of one document whose short prints agree by chance count as one; the slack covers it
-        able = known & (sizes > 0) & (100 * total + 100 + sizes >= percent * sizes)
+        able = known & (sizes > 0) & (100 * total >= percent * sizes)
         return pa.table([pa.array(ids, mask=~known), pa.array(keys), pa.array(sizes), pa.array(classes, pa.binary()), pa.array(able)], names=[x.split()[0] for x in _DOCS.split(", ")])
 
     return scratch.save(summed.groupBy("batch").applyInArrow(judge, _DOCS), "documents")

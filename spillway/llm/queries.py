@@ -5,16 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality
+from . import jaccard_join, lines, quality, warc
 from .ann import nearest
 from .common import Scratch, table
-from .jaccard_join import jaccard_components
 from .lm_score import lm_scores
 from .packing import best_fit_packing
 from .sentencepiece_codec import sentencepiece_round_trip
 from .token_file import token_output
 from .toxicity import toxicity
-from .warc import warc_round_trip
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +20,7 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_round_trip(table(spark, sf_dir, "pages"), least=0).filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), least=0).filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +58,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_jaccard_join, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_quality_rules, op7_lm_score, op8_warc, op9_line_dedup, op10_nearest)}
 
-ORACLES = {"op6_quality_rules": quality.SQL, "op9_line_dedup": lines.SQL}
+ORACLES = {"op2_jaccard_join": jaccard_join.SQL, "op6_quality_rules": quality.SQL, "op8_warc": warc.SQL, "op9_line_dedup": lines.SQL}

@@ -287,3 +287,13 @@ def warc_round_trip(pages: DataFrame, least: int = 0, compress: bool = True) ->
     scratch = Scratch(pages.sparkSession, "warc")
     files = scratch.save(write_archives(with_revisits(pages, scratch, least), scratch.folder("files"), compress), "manifest")
     return read_archives(files, files.count())
+
+
+SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+d AS (SELECT page_id, CAST(octet_length(raw) AS BIGINT) AS payload_bytes, sha1(raw) AS h FROM p),
+k AS (SELECT h, max(page_id) AS keep FROM d GROUP BY h),
+b AS (SELECT h, keep, list_transform(range(8), lambda g: CAST('0x' || substr(h, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM k),
+c AS (SELECT h, keep, array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM keep AND keep IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to FROM d JOIN c USING (h)
+"""
