@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import sys
 import unicodedata
 
 from .common import claim
 
-#: White space other than single blanks and single line feeds inside a line.
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: White space other than blanks and line feeds.
+_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(chr(c) for c in range(0x2000, 0x200B))
 
 #: Letters up to here are lowered one by one, whatever their neighbours.
 _LATIN = "ɏ"
@@ -111,9 +111,9 @@ class Encoder:
     def _lines(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text.isprintable() and _ODD.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return self._plain(text)
-        if text[0] in " \n" or text[-1] in " \n":
+        if any(c in text for c in _ASCII_SPACE) or not text.isascii() and any(c in text for c in _WIDE_SPACE):
             return self._plain(text)
         first, spaced = self.first, self.spaced.__getitem__
         lines = []
