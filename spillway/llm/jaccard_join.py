@@ -55,7 +55,7 @@ _SUMMED = "batch long, ids binary, sizes binary, classes binary, docs binary, co
 _DOCS = "doc_id long, text_key long, n_shingles long, class binary, able boolean"
 
 
-def _deal(docs: DataFrame, fragments: int, words: int, percent: int) -> DataFrame:
+def _deal(docs: DataFrame, fragments: int, words: int) -> DataFrame:
     """A row for each batch of documents, and one for each batch and fragment with the parts of its sets."""
 
     def make(it):
@@ -125,7 +125,7 @@ def document_table(docs: DataFrame, scratch: Scratch, words: int = WORDS, percen
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     fragments = max(shuffle_partitions(spark), math.ceil(size / fragment_bytes))
-    summed = scratch.save(_deal(docs, fragments, words, percent).groupBy("fragment").applyInArrow(_shared, _SUMMED), "summed")
+    summed = scratch.save(_deal(docs, fragments, words).groupBy("fragment").applyInArrow(_shared, _SUMMED), "summed")
 
     def judge(group: pa.Table) -> pa.Table:
         head, total = None, None

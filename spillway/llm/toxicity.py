@@ -90,14 +90,12 @@ def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.array([len(c) for c in coded])
     left = np.repeat(np.cumsum(size), size) - np.arange(int(size.sum()))
     of = np.repeat(np.arange(len(words)), size)
-    n = len(of)
     at, keys, weights = [], [], []
     for a, b in _OFFSETS:
         ok = np.flatnonzero(left > b)
         at.append(of[ok])
         keys.append(flat[ok] << 10 | flat[ok + a] << 5 | flat[ok + b])
         weights.append(np.full(len(ok), LAM ** (b - 2), np.float32))
-    assert n <= len(flat)
     return np.concatenate(at), np.concatenate(keys), np.concatenate(weights)
 
 
