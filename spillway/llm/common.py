@@ -27,9 +27,24 @@ def claim(owner: object, forget: Callable[[], object]) -> None:
     if _OWNER[0] is not owner:
         if _OWNER[1]:
             _OWNER[1]()
+            _give_back()
         _OWNER[:] = [owner, forget]
 
 
+def _give_back() -> None:
+    """Return what is free to the system: allocators keep it else."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -64,7 +64,7 @@ def _deal(docs: DataFrame, fragments: int, words: int) -> DataFrame:
         key = TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in _DEALT.split(", ")]
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        for batch, first, last, texts in batches(it, rows=20_000, chars=5 << 20):
+        for batch, first, last, texts in batches(it, rows=20_000, chars=3 << 20):
             sets = [shingle_hashes(words_of(t), words) for t in texts]
             sizes = np.array([len(s) for s in sets], "<u4")
             classes = [digest(s) for s in sets]

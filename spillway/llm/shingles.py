@@ -28,7 +28,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_hashes(words: list[bytes], limit: int = 400_000) -> np.ndarray:
+def word_hashes(words: list[bytes], limit: int = 150_000) -> np.ndarray:
     claim(_HASHES, _HASHES.clear)
     if len(_HASHES) > limit:
         _HASHES.clear()

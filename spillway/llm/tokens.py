@@ -127,12 +127,18 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str, blank: bool, width: int) -> Encoder:
-    """One encoder a worker process and vocabulary."""
+    """One encoder a worker process and vocabulary; it goes when another memo is in use."""
     key = (path, blank, width)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     found = _ENCODERS[key]
-    claim(found, found._forget)
+
+    def drop() -> None:
+        _ENCODERS.pop(key, None)
+        found.first.clear()
+        found.spaced.clear()
+
+    claim(found, drop)
     return found
 
 

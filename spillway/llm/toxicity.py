@@ -39,7 +39,7 @@ LAM = 0.6
 SPAN = 5
 LEAST = 0.45
 POWER = 3
-MEMO = 400_000
+MEMO = 300_000
 
 #: Words longer than this are seen through windows of it, moved by half.
 WINDOW = 24
