@@ -8,10 +8,12 @@ set. For the few that remain, n-grams are ordered rarest first, documents that s
 prefixes become candidates unless their sizes and places rule them out, and the overlap of each
 candidate pair is counted fragment by fragment and summed per pair.
 
-Components need no link twice: a prefix list first meets one member of it; only members that are
-still in different components after that meet each other. So a group of thousands of copies costs a few
-comparisons for each copy, and no link between different texts that could join two components is
-left out.
+Components come first: a prefix list meets one member of it; only members that are still in different
+components after that meet each other. So no link between different texts that could join two
+components is left out. As links lie inside components, all classes of a component then meet each other,
+in blocks, and the overlap of every pair is counted: that gives all links between different classes, as
+pairs of classes with the documents' classes (`jaccard_links`) or as each document's number of links.
+Their pairs grow with the square of a component's different texts. `keep_one` needs components alone.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a null doc_id links
 with nothing and has a null component; repeated rows are in one component, rows that share a
@@ -50,6 +52,9 @@ BITS = 8
 #: Members of a prefix list that one task meets with the others.
 BLOCK = 1_000
 
+#: Classes of a component that one group meets with as many others.
+SETS = 128
+
 _DEALT = "fragment int, batch long, ids binary, sizes binary, classes binary, docs binary, counts binary, hashes binary"
 _SUMMED = "batch long, ids binary, sizes binary, classes binary, docs binary, counts binary"
 _DOCS = "doc_id long, text_key long, n_shingles long, class binary, able boolean"
@@ -224,8 +229,8 @@ def _all_pairs(lists: DataFrame, segments: DataFrame, percent: int) -> DataFrame
     return left.join(right, keys & (left["rid"] < right["rid2"]) & (left["label"] != right["label2"]) & room & first).drop(right["h"], right["s"])
 
 
-def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(u, label) of classes, by the hash of their digest, in components of two or more."""
+def _segments_and_labels(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of the classes that may link, and (u, label) of those in components of two or more."""
     able = table.filter("able").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     wanted = scratch.save(able.withColumn("rid", F.xxhash64("class")), "wanted")
     segments = scratch.save(_segments(docs, wanted, wanted.count(), words), "segments")
@@ -247,34 +252,107 @@ def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORD
         found = scratch.save(_verify(scratch.save(fresh, f"pairs-{k}"), segments, percent), f"edges-{k}")
         if not found.isEmpty():
             labels = joined(labels, found, scratch, f"components-{k}")
-    return labels if labels is not None else scratch.spark.createDataFrame([], "u long, label long")
+    return segments, labels if labels is not None else scratch.spark.createDataFrame([], "u long, label long")
 
 
-def _members(docs: DataFrame, words: int, percent: int, fragment_bytes: int) -> DataFrame:
-    """One row a document: doc_id, text_key, n_shingles, and first, the component's least (doc_id, text_key); null where it is alone."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    table = document_table(docs, scratch, words, percent, fragment_bytes)
-    labels = links(docs, table, scratch, words, percent)
+def links(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT, rounds: int | None = None) -> DataFrame:
+    """(u, label) of classes, by the hash of their digest, in components of two or more."""
+    return _segments_and_labels(docs, table, scratch, words, percent, ROUNDS if rounds is None else rounds)[1]
+
+
+def _meet(segments: DataFrame, labels: DataFrame, copies: DataFrame, percent: int, listed: bool) -> DataFrame:
+    """All links of different classes: each pair (a, b, n_a, n_b, o), or (u, others), the documents that a class links with.
+
+    A component's classes are dealt into blocks of about SETS, and each two blocks meet in one
+    group, so a set is read once in a component of one block. copies (u, copies): documents of a class.
+    """
+    sized = labels.join(labels.groupBy("label").agg(F.ceil(F.count("*") / SETS).cast("int").alias("blocks")), "label").join(copies, "u")
+    dealt = sized.withColumn("s", F.pmod(F.xxhash64("u", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.select(F.col("u").alias("rid"), "label", "copies", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+    dealt = dealt.select("rid", "label", "copies", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        rid, at = np.unique(group.column("rid").to_numpy(), return_inverse=True)
+        hashes = group.column("hashes").combine_chunks()
+        slots = np.diff(hashes.offsets.to_numpy())
+        owner = np.repeat(at, slots)
+        n = np.bincount(owner, minlength=len(rid))
+        value, token = np.unique(hashes.flatten().to_numpy(), return_inverse=True)
+        block, many = np.zeros(len(rid), np.int64), np.zeros(len(rid), np.int64)
+        block[at], many[at] = group.column("s").to_numpy(), group.column("copies").to_numpy()
+        apart = group.column("i")[0] != group.column("j")[0]
+        others, found = np.zeros(len(rid), np.int64), []
+        for k in range(len(rid)):
+            mark = np.zeros(len(value), bool)
+            mark[token[owner == k]] = True
+            o = np.bincount(owner[mark[token]], minlength=len(rid))
+            link = (100 + percent) * o >= percent * (n + n[k])
+            link &= (block != block[k]) if apart else (np.arange(len(rid)) != k)
+            others[k] = many[link].sum()
+            if listed:
+                more = np.flatnonzero(link[k + 1 :]) + k + 1
+                found.append((np.full(len(more), rid[k]), rid[more], np.full(len(more), n[k]), n[more], o[more]))
+        if listed:
+            return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b", "n_a", "n_b", "o"])
+        return pa.table([pa.array(rid), pa.array(others)], names=["u", "others"])
+
+    met = segments.select("rid", "hashes").join(dealt, "rid").groupBy("label", "i", "j")
+    return met.applyInArrow(meet, "a long, b long, n_a long, n_b long, o long" if listed else "u long, others long")
+
+
+def _copies(table: DataFrame) -> DataFrame:
+    return table.filter("class is not null and doc_id is not null").groupBy(F.xxhash64("class").alias("u")).agg(F.count("*").alias("copies"))
+
+
+def _members(table: DataFrame, labels: DataFrame, scratch: Scratch, others: DataFrame | None = None) -> DataFrame:
+    """One row a document: doc_id, text_key, n_shingles, and first, the component's least (doc_id, text_key), and with others n_links; null where it is alone."""
     classes = table.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count("*").alias("copies"))
     classes = classes.withColumn("u", F.xxhash64("class")).join(labels, "u", "left").filter("copies > 1 or label is not null")
     classes = scratch.save(classes.withColumn("label", F.coalesce("label", "u")), "classes")
     firsts = classes.groupBy("label").agg(F.min("least").alias("first"))
-    known = scratch.save(classes.join(firsts, "label").select("class", "copies", "first"), "known")
+    known, columns = classes.join(firsts, "label"), ["first"]
+    if others is not None:
+        known = known.join(others, "u", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        columns.append("n_links")
+    known = scratch.save(known.select("class", "copies", *columns), "known")
     n, total = known.count(), table.count()
-    return skew_lookup(table.drop("able"), known, "class", ["first"], "copies", total, F.col("doc_id"), size=80 * n)
+    return skew_lookup(table.drop("able"), known, "class", columns, "copies", total, F.col("doc_id"), size=80 * n)
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id."""
-    first = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
-    return _members(docs, words, percent, fragment_bytes).select("doc_id", "n_shingles", first.alias("component_id"))
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragment_bytes: int = FRAGMENT_BYTES, counts: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id; with counts, also n_links, the other rows that it links with."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    table = document_table(docs, scratch, words, percent, fragment_bytes)
+    segments, labels = _segments_and_labels(docs, table, scratch, words, percent, ROUNDS)
+    others = None
+    if counts:
+        others = scratch.save(_meet(segments, labels, _copies(table), percent, False).groupBy("u").agg(F.sum("others").alias("others")), "others")
+    out = _members(table, labels, scratch, others)
+    known = F.col("doc_id").isNotNull()
+    columns = ["doc_id", "n_shingles", F.when(known, F.coalesce("first.doc_id", "doc_id")).alias("component_id")]
+    return out.select(*columns, *([F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")] if counts else []))
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragment_bytes: int = FRAGMENT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """All links: (class, class2, n_shingles, n_shingles2, shared), a row for each pair of different classes that links; and
+    the membership (doc_id, class), a row for each document that can link. Documents of one class all link."""
+    scratch = Scratch(docs.sparkSession, "links")
+    table = document_table(docs, scratch, words, percent, fragment_bytes)
+    segments, labels = _segments_and_labels(docs, table, scratch, words, percent, ROUNDS)
+    found = scratch.save(_meet(segments, labels, _copies(table), percent, True), "links")
+    of = table.filter("able").select("class").distinct().withColumn("rid", F.xxhash64("class"))
+    pairs = found.join(of.withColumnRenamed("rid", "a"), "a").join(of.select(F.col("rid").alias("b"), F.col("class").alias("class2")), "b")
+    members = table.filter("class is not null and doc_id is not null").select("doc_id", "class")
+    return pairs.select("class", "class2", F.col("n_a").alias("n_shingles"), F.col("n_b").alias("n_shingles2"), F.col("o").alias("shared")), members
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragment_bytes: int = FRAGMENT_BYTES) -> DataFrame:
     """docs with one document of each component: that with the least doc_id; of its repeated rows one stays.
     Documents without words or without a doc_id all stay."""
     scratch = Scratch(docs.sparkSession, "kept")
-    members = scratch.save(_members(docs, words, percent, fragment_bytes).filter("first is not null and doc_id is not null").select("doc_id", "text_key", "first"), "members")
+    work = Scratch(docs.sparkSession, "jaccard")
+    table = document_table(docs, work, words, percent, fragment_bytes)
+    members = scratch.save(_members(table, links(docs, table, work, words, percent), work).filter("first is not null and doc_id is not null").select("doc_id", "text_key", "first"), "members")
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     out = scratch.save(members.filter(~own).select("doc_id", "text_key").distinct(), "out")
     again = scratch.save(members.filter(own).groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_key"), "again")

@@ -20,7 +20,7 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True).drop("n_links")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,27 @@ def test_full_meeting_alone_finds_all(spark, monkeypatch):
     assert sizes == sorted(r["count"] for r in again.groupBy("label").count().collect()) and sizes
 
 
+def test_all_links_are_listed(spark, monkeypatch):
+    docs = [(k, t) for k, (_, t) in enumerate(_near(4, groups=3, size=16))]
+    docs += [(500 + k, t) for k, t in docs[:9]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard_join, "SETS", 5)
+    sets = {d: _set(t) for d, t in docs}
+    want = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    pairs, members = jaccard_join.jaccard_links(df, fragment_bytes=3000)
+    of = {}
+    for r in members.collect():
+        of.setdefault(bytes(r["class"]), []).append(r["doc_id"])
+    rows = [(bytes(r["class"]), bytes(r["class2"]), r["n_shingles"], r["n_shingles2"], r["shared"]) for r in pairs.collect()]
+    for a, b, *sizes in rows:
+        x, y = sets[of[a][0]], sets[of[b][0]]
+        assert sizes == [len(x), len(y), len(x & y)]
+    got = [(min(i, j), max(i, j)) for a, b, *_ in rows for i in of[a] for j in of[b]] + [(i, j) for x in of.values() for i in x for j in x if i < j]
+    assert len(got) == len(set(got)) and set(got) == want
+    n = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(df, counts=True).collect()}
+    assert n == {i: sum(i in p for p in want) for i in sets}
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     docs = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert _got(jaccard_join.jaccard_components(odd)) == _components(docs)
