@@ -3,9 +3,9 @@
 Documents are tokenized, ended and, where longer than a sequence, cut; a full piece is a sequence
 of its own. The other pieces are dealt into shards of about SHARD pieces by a hash of a row number,
 and each shard is packed alone: best fit in descending order, then moves, one-for-one and
-two-for-one swaps between underfull bins that raise the sum of squared fills until bins empty. A
-shard stops at its lower bound, so it holds at most a few sequences more than it needs, a few in
-ten thousand. Only lengths enter the shards, so a shard's size has a bound.
+two-for-one swaps between underfull bins that raise the sum of squared fills until bins empty. All
+underfull bins are partners. A shard stops at its lower bound, or where no bin has a step left, which
+can be above the bound where few pieces make up a sequence. Only lengths enter the shards, so a shard's size has a bound.
 
 Defined results: a null or empty text is a document of the end id alone; a null doc_id stays null;
 repeated rows and rows that share a doc_id are documents of their own; an empty table gives no
@@ -71,6 +71,9 @@ class Bins:
         self.room: list[int] = []
         self.by_room: dict[int, set[int]] = defaultdict(set)
         self.mask = 0
+        self.takes: dict[int, tuple[int, int]] = {}
+        self.room_takes: dict[int, tuple[int, int]] = {}
+        self.gone: set[int] = set()
 
     def bound(self) -> int:
         return -(-sum(self.lengths) // self.size)
@@ -80,6 +83,9 @@ class Bins:
 
     def _set(self, b: int, room: int) -> None:
         old = self.room[b]
+        self.takes.pop(b, None)
+        self.room_takes.pop(old, None)
+        self.room_takes.pop(room, None)
         self.by_room[old].discard(b)
         if not self.by_room[old]:
             self.mask &= ~(1 << old)
@@ -113,53 +119,98 @@ class Bins:
         self._set(a, self.room[a] + d)
         self._set(b, self.room[b] - d)
 
-    def _improve(self, a: int, others: list[int]) -> bool:
-        """One step that takes length out of bin a, the emptier one, into a fuller one: the sum of squares grows."""
-        size, lengths = self.size, self.lengths
-        mine = sorted(self.items[a], key=lambda i: -lengths[i])
-        pairs = [(lengths[i] + lengths[j], [i, j]) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-        outs = [(lengths[i], [i]) for i in mine]
-        best: tuple = (0,)
-        for b in others:
-            room = self.room[b]
-            if b == a or not room or room > self.room[a] or not self.items[b]:
-                continue
-            theirs = self.items[b]
-            ones = [(lengths[i], [i]) for i in theirs]
-            twos = [(lengths[i] + lengths[j], [i, j]) for k, i in enumerate(theirs) for j in theirs[k + 1 :]]
-            for give, take in ((outs, [(0, [])]), (outs, ones), (outs, twos), (pairs, ones)):
-                for n, out in give:
-                    for m, into in take:
-                        if best[0] < n - m <= room:
-                            best = (n - m, out, b, into)
-            if best[0] == room or best[0] == size - self.room[a]:
+    def _takes(self, b: int) -> tuple[int, int]:
+        """Bits of the lengths that bin b can give back: none or one of its items, and two of them."""
+        if b not in self.takes:
+            ones, twos = 0, 0
+            for i in self.items[b]:
+                twos |= ones << self.lengths[i]
+                ones |= 1 << self.lengths[i]
+            self.takes[b] = (ones | 1, twos)
+        return self.takes[b]
+
+    def _room_takes(self, room: int, but: int) -> tuple[int, int]:
+        """The same of all bins with that room, without bin `but`."""
+        if room not in self.room_takes or room == self.room[but]:
+            ones, twos = 0, 0
+            for b in self.by_room[room]:
+                if b != but:
+                    one, two = self._takes(b)
+                    ones, twos = ones | one, twos | two
+            if room == self.room[but]:
+                return ones, twos
+            self.room_takes[room] = (ones, twos)
+        return self.room_takes[room]
+
+    def _find(self, b: int, n: int) -> list[int] | None:
+        """One or two items of bin b of length n together."""
+        if not n:
+            return []
+        seen: dict[int, int] = {}
+        for i in self.items[b]:
+            if self.lengths[i] == n:
+                return [i]
+        for i in self.items[b]:
+            if n - self.lengths[i] in seen:
+                return [i, seen[n - self.lengths[i]]]
+            seen[self.lengths[i]] = i
+        return None
+
+    def _improve(self, a: int) -> bool:
+        """One step that takes length out of bin a, the emptier one, into a fuller one: the sum of squares grows.
+        All underfull bins are partners, by their room and the lengths that they can give back."""
+        one = {self.lengths[i]: [i] for i in self.items[a]}
+        two: dict[int, list[int]] = {}
+        mine = self.items[a]
+        for k, i in enumerate(mine):
+            for j in mine[k + 1 :]:
+                two.setdefault(self.lengths[i] + self.lengths[j], [i, j])
+        best, whole, mask = (0, 0, 0, [], True), self.size - self.room[a], self.mask & ((2 << self.room[a]) - 2)
+        while mask:
+            room = mask.bit_length() - 1
+            mask ^= 1 << room
+            if best[0] >= min(room, whole):
                 break
-        if best[0] <= 0:
+            ones, twos = self._room_takes(room, a)
+            for outs, give in ((one, ones | twos), (two, ones)):
+                for n, out in outs.items():
+                    least = max(0, n - room)
+                    m = give >> least
+                    if m and n - (least + (m & -m).bit_length() - 1) > best[0]:
+                        least += (m & -m).bit_length() - 1
+                        best = (n - least, room, least, out, outs is one)
+        gain, room, m, out, both = best
+        if gain <= 0:
             return False
-        self._exchange(a, best[1], best[2], best[3])
-        return True
-
-    def search(self, steps: int = 3000, width: int = 200, tries: int = 40) -> None:
-        """Empty the emptiest bins into underfull ones, of which the `width` with the most room are tried; it ends once `tries` bins can't be emptied."""
-        need, done = self.bound(), 0
-        stuck: set[int] = set()
-        while self.used() > need and done < steps and len(stuck) < tries:
-            open_bins = sorted((b for r, bs in self.by_room.items() if r for b in bs), key=lambda b: (-self.room[b], b))
-            a = next((b for b in open_bins if b not in stuck), None)
-            if a is None:
-                return
-            while self.items[a] and done < steps:
-                done += 1
-                if not self._improve(a, open_bins[: width + 1]):
-                    stuck.add(a)
-                    break
-
-
-def pack(lengths, size: int, width: int = 200) -> tuple[np.ndarray, np.ndarray, int]:
+        for b in self.by_room[room]:
+            ones, twos = self._takes(b)
+            if b != a and ((ones | twos if both else ones) >> m) & 1:
+                self._exchange(a, out, b, self._find(b, m))
+                return True
+        raise AssertionError("the index names a bin that has no such items")
+
+    def search(self) -> None:
+        """Empty the emptiest bins into underfull ones until the lower bound is met, or no bin has a step left:
+        bins that could not be emptied are tried again as long as a round changes something."""
+        need, changed = self.bound(), True
+        left = self.used()
+        while changed and left > need:
+            changed = False
+            for a in sorted((b for r, bs in self.by_room.items() if r for b in bs), key=lambda b: (-self.room[b], b)):
+                while self.items[a] and self._improve(a):
+                    changed = True
+                if not self.items[a] and self.room[a] == self.size and a not in self.gone:
+                    self.gone.add(a)
+                    left -= 1
+                    if left <= need:
+                        return
+
+
+def pack(lengths, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) of each length, bins numbered from 0, and the bins' number."""
     bins = Bins(lengths, size)
     bins.best_fit()
-    bins.search(width=width)
+    bins.search()
     where, offset, k = np.zeros(len(bins.lengths), np.int64), np.zeros(len(bins.lengths), np.int64), 0
     for held in bins.items:
         at = 0

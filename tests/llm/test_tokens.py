@@ -149,3 +149,15 @@ def test_search_empties_bins():
     before = squares()
     bins.search()
     assert bins.used() == 2 and squares() > before
+
+
+def test_search_ends_where_no_bin_has_a_step():
+    lengths = np.random.default_rng(0).integers(300, 901, 4000)
+    bins = packing.Bins(lengths, 2048)
+    bins.best_fit()
+    bins.search()
+    fill = [sum(bins.lengths[i] for i in x) for x in bins.items]
+    assert sorted(i for x in bins.items for i in x) == list(range(4000)) and max(fill) <= 2048
+    assert all(2048 - f == r for f, r in zip(fill, bins.room, strict=True))
+    assert bins.used() == bins.bound() or not any(bins._improve(a) for a in range(len(bins.items)) if bins.items[a] and bins.room[a])
+    assert bins.used() <= 1195
