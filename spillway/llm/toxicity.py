@@ -11,6 +11,8 @@ worst sentence's margin and its length, fitted on the same documents.
 
 The machine is fitted on the driver on at most SAMPLE labelled documents, those with the least hash
 of their id; every text is scored whole. Values of the kernel under LEAST count as 0.
+Latin script only: all letters that do not decompose to a to z share five codes, so words of other
+scripts can't be told apart.
 
 Defined results: null and empty texts get the score of a text without a suspect word; without
 labels of both kinds every score is 0; several labels of a document count as their largest, null
