@@ -79,8 +79,10 @@ def _near(seed, groups=6, size=25):
 def test_near_copies(spark, seed, monkeypatch):
     docs = _near(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1 + seed)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7 + 2 * seed)
+    monkeypatch.setattr(jaccard_join, "SETS", 6 + 100 * seed)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 50)
+    monkeypatch.setattr(jaccard_join, "CALL_SHINGLES", 1000)
     want = _components(docs)
     assert _got(jaccard_join.jaccard_components(df, fragment_bytes=3000)) == want
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
@@ -90,15 +92,71 @@ def test_near_copies(spark, seed, monkeypatch):
     assert {r["doc_id"] for r in jaccard_join.keep_one(df).collect()} == first
 
 
-def test_full_meeting_alone_finds_all(spark, monkeypatch):
-    docs = _near(3)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    scratch = Scratch(spark, "t")
-    table = jaccard_join.document_table(df, scratch)
-    labels = jaccard_join.links(df, table, scratch, rounds=0)
-    sizes = sorted(r["count"] for r in labels.groupBy("label").count().collect())
-    again = jaccard_join.links(df, table, Scratch(spark, "t"), rounds=3)
-    assert sizes == sorted(r["count"] for r in again.groupBy("label").count().collect()) and sizes
+def _borderline(size, seed=5):
+    """One text with two edits a copy, so that copies link with a part of the others, between texts of their own."""
+    r = np.random.default_rng(seed)
+    base = [f"w{r.integers(0, 3000)}" for _ in range(120)]
+    out = []
+    for k in range(size):
+        w = list(base)
+        for i in r.integers(0, len(w), 2):
+            w[i] = f"x{r.integers(0, 1 << 30)}"
+        out.append((k, " ".join(w)))
+    return out + [(10_000 + k, " ".join(f"v{r.integers(0, 1 << 30)}" for _ in range(60))) for k in range(20)]
+
+
+@pytest.mark.parametrize("sets", [16, 1024])
+def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch, sets):
+    monkeypatch.setattr(jaccard_join, "SETS", sets)
+    edges = {}
+    for size in (60, 120):
+        docs = _borderline(size)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        scratch = Scratch(spark, "t")
+        table = jaccard_join.document_table(df, scratch)
+        jaccard_join._linked(df, table, scratch, 5, 80)
+        rows = lambda name: spark.read.parquet(scratch.path(name)).count()
+        lists, edges[size] = rows("lists"), rows("near") + rows("nearer")
+        assert edges[size] <= lists and rows("met") <= size * -(-size // sets)
+        assert _got(jaccard_join.jaccard_components(df)) == _components(docs)
+    assert edges[120] <= 3 * edges[60]
+
+
+def test_lists_and_groups_meet_in_full():
+    r = np.random.default_rng(3)
+    for trial in range(30):
+        size = int(r.integers(2, 40))
+        sets = [np.unique(r.integers(0, 30, int(r.integers(6, 24)))) for _ in range(size)]
+        n = np.array(list(map(len, sets)))
+        shared = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+        link = (180 * shared >= 80 * (n[:, None] + n[None])) & ~np.eye(size, dtype=bool)
+        cells = np.stack([jaccard_join.bitmap(shingle_hashes([str(x).encode() for x in s], 1)).view(np.uint64) for s in sets])
+        every, label = np.arange(size), r.integers(0, size, size)
+        parts = [(every, every)] if trial % 2 else [(every[::2], every[::2]), (every[1::2], every[1::2]), (every[::2], every[1::2])]
+        parent = {int(x): int(x) for x in label}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for left, right in parts:
+            found = jaccard_join.list_edges(n, np.zeros(size, np.int64), label, cells, left, right, 80)
+            assert len(found) < size
+            for a, b in found:
+                parent[find(int(label[a]))] = find(int(label[b]))
+        for a, b in np.argwhere(link):
+            assert find(int(label[a])) == find(int(label[b]))
+        owner, token, many = np.repeat(every, n), np.concatenate(sets), r.integers(1, 4, size)
+        others = np.zeros(size, np.int64)
+        pairs = set()
+        for left, right in parts:
+            right = left if right is left else right
+            got, part, listed = jaccard_join.group_links(every, owner, np.unique(token, return_inverse=True)[1], n, many, left, right, 80, True)
+            others += got
+            pairs |= {(min(a, b), max(a, b), o) for x in listed for a, b, _, _, o in zip(*(y.tolist() for y in x), strict=True)}
+        assert (others == link @ many).all()
+        assert pairs == {(int(a), int(b), int(shared[a, b])) for a, b in np.argwhere(link) if a < b}
 
 
 def test_all_links_are_listed(spark, monkeypatch):
@@ -118,7 +176,7 @@ def test_all_links_are_listed(spark, monkeypatch):
         assert sizes == [len(x), len(y), len(x & y)]
     got = [(min(i, j), max(i, j)) for a, b, *_ in rows for i in of[a] for j in of[b]] + [(i, j) for x in of.values() for i in x for j in x if i < j]
     assert len(got) == len(set(got)) and set(got) == want
-    n = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(df, counts=True).collect()}
+    n = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(df).collect()}
     assert n == {i: sum(i in p for p in want) for i in sets}
 
 
