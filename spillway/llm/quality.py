@@ -3,14 +3,18 @@
 A document fails the base with under 50 words, or with over half of its words in repeated windows
 of three. Soft rules alone reject nothing: symbols (over a tenth as many symbols as words), lines
 (over 30 % of the lines equal to an earlier one), length (words of under 3 or over 12 code points
-on average). Failures of all rules are summed by host; a host's rate of each rule is shrunk to the
-hosts' mean by a beta prior fitted to the hosts' rates by moments. Where a host's shrunk rate of a
-rule is over `limit`, its documents that fail that rule are rejected; others stay.
+on average). Failures of each of the five rules, and of any, are summed by host; a host's rates are shrunk to the
+mean of all documents by a beta prior. Its strength follows from how much more hosts differ than
+documents dealt at random would (moments weighted by the hosts' documents). A host's verdict of a soft rule is
+that its shrunk rate is over `limit`; its verdict as a whole, that the shrunk rate of failing any of the five is over
+`bad`. A document goes that fails a soft rule of which its host has the verdict, or any soft rule where
+its host as a whole is bad. So a failure is forgiven on a host where it is rare, and documents that fail nothing stay on any host.
 
 All of it is DataFrame functions. Metrics are written once, so texts are read once.
 
 Defined results: null text has no words and fails the base; a null source is the host ''; repeated
-rows count as often as they occur; an empty table gives no rows; other columns pass unread.
+rows count as often as they occur; very long texts are read whole; rates equal to a limit are not over it, and with one host or
+equal hosts the prior is as strong as it gets; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,13 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 #: A host whose shrunk rate of a soft rule is higher loses the documents that fail the rule.
-LIMIT = 0.3
+LIMIT = 0.02
+
+#: A host whose shrunk rate of failing any of the five rules is higher loses the documents that fail any soft one.
+BAD = 0.25
+
+#: Documents by which the weakest and the strongest prior count.
+WEAKEST, STRONGEST = 1.0, 1e6
 
 SOFT = ("symbols", "lines", "length")
 RULES = ("short", "repeats", *SOFT)
@@ -73,49 +83,64 @@ def with_metrics(rows: DataFrame) -> DataFrame:
 
 
 def failures() -> dict[str, Column]:
-    """Each rule's failure, from the metrics."""
+    """Each rule's failure, from the metrics, and that of any rule."""
     c = F.col
-    return {
+    found = {
         "short": c("n_words") < 50,
         "repeats": 100 * c("n_repeat_words") > 50 * c("n_words"),
         "symbols": 10 * c("n_symbols") > c("n_words"),
         "lines": 10 * c("n_dup_lines") > 3 * c("n_lines"),
         "length": (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 12 * c("n_words")),
     }
+    return found | {"any": found["short"] | found["repeats"] | found["symbols"] | found["lines"] | found["length"]}
+
+
+def strength(mean: float, spread: float, documents: float, squares: float, hosts: int) -> float:
+    """Documents by which the beta prior counts, from the hosts' sum of n (rate - mean)^2: 1 / rho - 1, rho the correlation of two documents of a host."""
+    chance, room = mean * (1 - mean), documents - squares / documents - (hosts - 1)
+    rho = (spread / chance - (hosts - 1)) / room if chance > 0 and room > 0 else 0.0
+    return min(max(1 / rho - 1, WEAKEST), STRONGEST) if rho > 0 else STRONGEST
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """One row a host: its documents, and each rule's shrunk failure rate. Only the prior's moments, a few numbers, pass the driver."""
-    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.sum(x.cast("long")).alias(k) for k, x in failures().items()])
-    rate = {k: F.col(k) / F.col("host_docs") for k in RULES}
-    m = hosts.agg(*[F.avg(x).alias(f"{k}_mean") for k, x in rate.items()], *[F.var_pop(x).alias(f"{k}_var") for k, x in rate.items()]).first()
+    """One row a host: its documents, and the shrunk failure rate of each rule and of any. Only the prior's moments, a few numbers, pass the driver."""
+    rules = failures()
+    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"), *[F.sum(x.cast("long")).alias(k) for k, x in rules.items()])
+    n = F.col("host_docs").cast("double")
+    moments = [F.sum(k).alias(f"{k}_sum") for k in rules] + [F.sum(F.col(k).cast("double") * F.col(k) / n).alias(f"{k}_spread") for k in rules]
+    m = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("documents"), F.sum(n * n).alias("squares"), *moments).first()
     shrunk = []
-    for k in RULES:
-        mean, var = m[f"{k}_mean"] or 0.0, m[f"{k}_var"] or 0.0
-        strength = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var else 1e6
-        shrunk.append(((F.col(k) + mean * strength) / (F.col("host_docs") + strength)).alias(f"{k}_rate"))
+    for k in rules:
+        mean = m[f"{k}_sum"] / m["documents"] if m["hosts"] else 0.0
+        held = strength(mean, m[f"{k}_spread"] - mean * mean * m["documents"], m["documents"], m["squares"], m["hosts"]) if m["hosts"] else STRONGEST
+        shrunk.append(((F.col(k) + mean * held) / (n + held)).alias(f"{k}_rate"))
     return hosts.select("host", "host_docs", *shrunk)
 
 
-def quality_rules(rows: DataFrame, scratch: Scratch, limit: float = LIMIT) -> DataFrame:
-    """rows (text, source, others) with the metrics, base_failed, the host's verdicts and kept in place of text and source."""
-    others = [c for c in rows.columns if c not in ("text", "source")]
-    measured = scratch.save(with_metrics(rows.select(*others, "text", F.coalesce(F.col("source"), F.lit("")).alias("host"))), "measured")
+def _judged(docs: DataFrame, kept: Column, scratch: Scratch, limit: float, bad: float) -> DataFrame:
+    """`kept` of docs as _row, with the metrics, base_failed, host_rejected and kept."""
+    rows = docs.select(kept.alias("_row"), F.col("text"), F.coalesce(F.col("source"), F.lit("")).alias("host"))
+    measured = scratch.save(with_metrics(rows), "measured")
     hosts = scratch.save(host_rates(measured), "hosts")
     n, total = hosts.agg(F.count("*"), F.coalesce(F.sum("host_docs"), F.lit(0))).first()
-    verdicts = hosts.select("host", "host_docs", *[(F.col(f"{k}_rate") > limit).alias(f"host_{k}") for k in SOFT])
-    out = skew_lookup(measured, verdicts, "host", [f"host_{k}" for k in SOFT], "host_docs", total, F.monotonically_increasing_id(), size=200 * n)
+    verdicts = hosts.select("host", "host_docs", *[(F.col(f"{k}_rate") > limit).alias(f"host_{k}") for k in SOFT], (F.col("any_rate") > bad).alias("host_bad"))
+    out = skew_lookup(measured, verdicts, "host", [*[f"host_{k}" for k in SOFT], "host_bad"], "host_docs", total, F.monotonically_increasing_id(), size=200 * n)
     rule = failures()
-    by_host = rule["symbols"] & F.col("host_symbols") | rule["lines"] & F.col("host_lines") | rule["length"] & F.col("host_length")
-    out = out.withColumn("base_failed", rule["short"] | rule["repeats"])
-    return out.withColumn("kept", ~F.col("base_failed") & ~by_host)
+    by_host = [rule[k] & (F.col(f"host_{k}") | F.col("host_bad")) for k in SOFT]
+    out = out.withColumn("base_failed", rule["short"] | rule["repeats"]).withColumn("host_rejected", by_host[0] | by_host[1] | by_host[2])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+
+
+def quality_rules(docs: DataFrame, limit: float = LIMIT, bad: float = BAD) -> DataFrame:
+    """One row a document: doc_id, the metrics, base_failed, kept, and host_rejected, the host's verdict on it."""
+    out = _judged(docs, F.struct("doc_id"), Scratch(docs.sparkSession, "quality"), limit, bad)
+    return out.select("_row.doc_id", *METRICS, "base_failed", "kept", "host_rejected")
 
 
-def quality_filter(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+def quality_filter(docs: DataFrame, limit: float = LIMIT, bad: float = BAD) -> DataFrame:
     """docs without those that the rules reject."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "source")
-    return quality_rules(rows, scratch, limit).filter("kept").select("_row.*")
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, every, Scratch(docs.sparkSession, "quality"), limit, bad).filter("kept").select("_row.*")
 
 
 SQL = r"""
@@ -127,9 +152,12 @@ r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) A
 p AS (SELECT rid, count(DISTINCT i + k) AS n FROM r CROSS JOIN (VALUES (0), (1), (2)) v(k) GROUP BY rid),
 m AS (SELECT a.rid, doc_id, host, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words FROM a LEFT JOIN p ON a.rid = p.rid),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS f1, 10 * n_dup_lines > 3 * n_lines AS f2, word_chars < 3 * n_words OR word_chars > 12 * n_words AS f3 FROM m),
-h AS (SELECT host, count(*) AS n, sum(CAST(f1 AS INT)) AS k1, sum(CAST(f2 AS INT)) AS k2, sum(CAST(f3 AS INT)) AS k3 FROM f GROUP BY host),
-v AS (SELECT avg(k1 / n) AS m1, var_pop(k1 / n) AS v1, avg(k2 / n) AS m2, var_pop(k2 / n) AS v2, avg(k3 / n) AS m3, var_pop(k3 / n) AS v3 FROM h),
-s AS (SELECT *, CASE WHEN v1 > 0 THEN least(greatest(m1 * (1 - m1) / v1 - 1, 1), 1e6) ELSE 1e6 END AS s1, CASE WHEN v2 > 0 THEN least(greatest(m2 * (1 - m2) / v2 - 1, 1), 1e6) ELSE 1e6 END AS s2, CASE WHEN v3 > 0 THEN least(greatest(m3 * (1 - m3) / v3 - 1, 1), 1e6) ELSE 1e6 END AS s3 FROM v),
-b AS (SELECT host, (k1 + m1 * s1) / (n + s1) > 0.3 AS b1, (k2 + m2 * s2) / (n + s2) > 0.3 AS b2, (k3 + m3 * s3) / (n + s3) > 0.3 AS b3 FROM h CROSS JOIN s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (f1 AND b1 OR f2 AND b2 OR f3 AND b3) AS kept FROM f JOIN b USING (host)
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, [sum(CAST(f1 AS INT)), sum(CAST(f2 AS INT)), sum(CAST(f3 AS INT)), sum(CAST(base_failed OR f1 OR f2 OR f3 AS INT))] AS ks FROM f GROUP BY host),
+u AS (SELECT host, n, unnest([1, 2, 3, 4]) AS r, CAST(unnest(ks) AS DOUBLE) AS k FROM h),
+v AS (SELECT r, sum(k) / sum(n) AS p, sum(k * k / n) AS q, sum(n) AS t, sum(n * n) AS t2, count(*) AS hosts FROM u GROUP BY r),
+e AS (SELECT r, p, CASE WHEN p * (1 - p) > 0 AND t - t2 / t - (hosts - 1) > 0 THEN ((q - p * p * t) / (p * (1 - p)) - (hosts - 1)) / (t - t2 / t - (hosts - 1)) ELSE 0 END AS rho FROM v),
+s AS (SELECT r, p, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 1e6) ELSE 1e6 END AS m FROM e),
+b AS (SELECT host, bool_or(r = 1 AND (k + p * m) / (n + m) > 0.02) AS b1, bool_or(r = 2 AND (k + p * m) / (n + m) > 0.02) AS b2, bool_or(r = 3 AND (k + p * m) / (n + m) > 0.02) AS b3, bool_or(r = 4 AND (k + p * m) / (n + m) > 0.25) AS b4 FROM u JOIN s USING (r) GROUP BY host),
+j AS (SELECT *, f1 AND (b1 OR b4) OR f2 AND (b2 OR b4) OR f3 AND (b3 OR b4) AS host_rejected FROM f JOIN b USING (host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected FROM j
 """

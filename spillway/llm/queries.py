@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard_join, lines, quality, warc
 from .ann import nearest
-from .common import Scratch, table
+from .common import table
 from .lm_score import lm_scores
 from .packing import best_fit_packing
 from .sentencepiece_codec import sentencepiece_round_trip
@@ -36,8 +36,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.quality_rules(rows, Scratch(spark, "quality")).select("doc_id", *quality.METRICS, "base_failed", "kept")
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
