@@ -1,16 +1,18 @@
 """Operator 1: token ids of documents in binary files, document bounds Elias-Fano encoded.
 
-A file: magic, ids (little-endian, `width` bytes each), doc ids (int64), a bitmap of null doc
-ids, the low and the high bits of the Elias-Fano sequence of the documents' first positions (n + 1
-of them), a JSON footer with the lengths of these parts, its length (uint32), magic.
+A file: magic, ids (little-endian, `width` bytes each), the Elias-Fano sequence of the documents' first
+positions (n + 1 of them: low bits, high bits, select samples), that of their doc ids less the least one,
+a JSON footer with the lengths of these parts, its length (uint32), magic. A reader holds these sequences as they
+lie in the file and gets every offset and doc id from them by select, a block of documents at a time.
 
 Defined results: a null or empty text is a document of only the end id; rows with a null doc_id
-come first; rows that share a doc_id are documents of their own, in the order of a hash of their
-texts; an empty table gives no files and no rows; other columns are ignored.
+come first, as a number in the footer; rows that share a doc_id are documents of their own, in the order of a hash of their
+texts, and with tied hashes in any order, their texts being equal; a very long text is one document; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import array
 import json
 import uuid
 import zlib
@@ -33,33 +35,41 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+#: Documents whose bounds and doc ids are decoded at a time.
+DOCS = 4096
+
+
 def write_file(uri: str, documents: Iterator[tuple[int | None, bytes]], width: int) -> tuple[int, int]:
-    """Write documents (doc_id, ids as bytes); the number of documents and ids. Only bounds and doc ids are held."""
+    """Write documents (doc_id, ids as bytes) in ascending order of doc_id, nulls first; the number of documents and ids. Only bounds and doc ids are held."""
     fs, path = open_fs(uri)
-    keys, bounds, at = [], [0], 0
+    keys, bounds, at, nulls = array.array("q"), array.array("q", [0]), 0, 0
     with fs.open_output_stream(path, compression=None) as out:
         out.write(MAGIC)
         for key, raw in documents:
             out.write(raw)
             at += len(raw) // width
-            keys.append(key)
             bounds.append(at)
-        ef = EliasFano.encode(bounds)
-        parts = {
-            "doc_ids": np.array([0 if k is None else k for k in keys], "<i8").tobytes(),
-            "nulls": np.packbits(np.array([k is None for k in keys], bool)).tobytes(),
-            "low": ef.low.tobytes(),
-            "high": ef.high.tobytes(),
-        }
+            if key is None and not keys:
+                nulls += 1
+            elif key is None or keys and key < keys[-1]:
+                raise ValueError("doc ids must ascend, nulls first")
+            else:
+                keys.append(key)
+        base = keys[0] if keys else 0
+        less = np.frombuffer(keys, np.uint64) - np.uint64(base % (1 << 64)) if keys else np.zeros(0, np.uint64)
+        parts, foot = {}, {"width": width, "n": nulls + len(keys), "nulls": nulls, "base": base, "tokens": at}
+        for name, ef in (("bounds", EliasFano.encode(np.frombuffer(bounds, np.int64))), ("keys", EliasFano.encode(less))):
+            foot[name] = ef.bits
+            parts |= {f"{name}_low": ef.low, f"{name}_high": ef.high, f"{name}_samples": ef.samples}
         for raw in parts.values():
-            out.write(raw)
-        foot = json.dumps({"width": width, "n": len(keys), "tokens": at, "bits": ef.bits, "parts": {k: len(v) for k, v in parts.items()}}).encode()
+            out.write(raw.tobytes())
+        foot = json.dumps(foot | {"parts": {k: len(v) for k, v in parts.items()}}).encode()
         out.write(foot + len(foot).to_bytes(4, "little") + MAGIC)
-    return len(keys), at
+    return nulls + len(keys), at
 
 
 class TokenFile:
-    """A file opened for reading: bounds by select, ids by document, or all documents in order."""
+    """A file opened for reading: bounds and doc ids by select, ids by document, or all documents in order."""
 
     def __init__(self, uri: str):
         fs, path = open_fs(uri)
@@ -70,29 +80,48 @@ class TokenFile:
             raise ValueError(f"{uri} is no whole token file")
         length = int.from_bytes(tail[:4], "little")
         foot = json.loads(self.file.read_at(length, size - 12 - length))
-        self.n, self.width, self.tokens = foot["n"], foot["width"], foot["tokens"]
+        self.n, self.width, self.tokens, self.nulls = foot["n"], foot["width"], foot["tokens"], foot["nulls"]
+        self.base = np.uint64(foot["base"] % (1 << 64))
         at, raw = 8 + self.tokens * self.width, {}
         for k, v in foot["parts"].items():
-            raw[k] = self.file.read_at(v, at)
+            raw[k] = np.frombuffer(self.file.read_at(v, at), np.uint8)
             at += v
-        nulls = np.unpackbits(np.frombuffer(raw["nulls"], np.uint8))[: self.n].astype(bool)
-        self.doc_ids = [None if null else int(k) for k, null in zip(np.frombuffer(raw["doc_ids"], "<i8"), nulls, strict=True)]
-        self.bounds = EliasFano(self.n + 1, foot["bits"], np.frombuffer(raw["low"], np.uint8), np.frombuffer(raw["high"], np.uint8))
+        part = lambda name, n: EliasFano(n, foot[name], raw[f"{name}_low"], raw[f"{name}_high"], raw[f"{name}_samples"])
+        self.bounds, self.keys = part("bounds", self.n + 1), part("keys", self.n - self.nulls)
+
+    def nbytes(self) -> int:
+        """Bytes of what is held in memory."""
+        return self.bounds.nbytes() + self.keys.nbytes()
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """doc ids of documents first .. last - 1."""
+        a, b = (max(0, x - self.nulls) for x in (first, last))
+        return [None] * (last - first - (b - a)) + (self.keys.values(a, b) + self.base).view(np.int64).tolist()
 
     def document(self, i: int) -> np.ndarray:
-        """ids of the i-th document, read by two selects."""
-        a, b = self.bounds.select(i), self.bounds.select(i + 1)
+        """ids of the i-th document, by select of its bounds."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        a, b = self.bounds.values(i, i + 2).astype(np.int64).tolist()
         return np.frombuffer(self.file.read_at((b - a) * self.width, 8 + a * self.width), f"<u{self.width}")
 
+    def document_at(self, position: int) -> int:
+        """The document that holds the id at a position of the file."""
+        if not 0 <= position < self.tokens:
+            raise IndexError(position)
+        return self.bounds.find(position) - 1
+
     def documents(self, slab: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, first position, ids) of all documents; about `slab` ids, or one document, are held at a time."""
-        at, i = self.bounds.values(), 0
-        while i < self.n:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + slab, side="right")) - 1)
-            ids = np.frombuffer(self.file.read_at(int(at[j] - at[i]) * self.width, 8 + int(at[i]) * self.width), f"<u{self.width}")
-            for k in range(i, j):
-                yield self.doc_ids[k], int(at[k]), ids[at[k] - at[i] : at[k + 1] - at[i]]
-            i = j
+        """(doc_id, first position, ids) of all documents; the bounds of DOCS documents and about `slab` ids, or one document, are held at a time."""
+        for first in range(0, self.n, DOCS):
+            last = min(self.n, first + DOCS)
+            at, keys, i = self.bounds.values(first, last + 1).astype(np.int64), self.doc_ids(first, last), 0
+            while i < last - first:
+                j = min(last - first, max(i + 1, int(np.searchsorted(at, at[i] + slab, side="right")) - 1))
+                ids = np.frombuffer(self.file.read_at(int(at[j] - at[i]) * self.width, 8 + int(at[i]) * self.width), f"<u{self.width}")
+                for k in range(i, j):
+                    yield keys[k], int(at[k]), ids[at[k] - at[i] : at[k + 1] - at[i]]
+                i = j
 
     def close(self) -> None:
         self.file.close()

@@ -42,6 +42,22 @@ def test_elias_fano(steps):
         assert e.nbytes() < 8 * len(values) / 2
 
 
+def test_select_needs_no_table():
+    r = np.random.default_rng(0)
+    for n, steps in ((200_000, r.integers(1, 900, 200_000)), (70_000, r.geometric(0.001, 70_000)), (9_000, r.integers(0, 2, 9_000) * r.integers(0, 1 << 40, 9_000))):
+        values = np.cumsum(steps)
+        e = EliasFano.encode(values)
+        held = sum(x.nbytes for x in vars(e).values() if isinstance(x, np.ndarray))
+        assert held == e.nbytes() and len(e.samples) <= 0.06 * (len(e.low) + len(e.high))
+        assert 8 * e.nbytes() <= n * (2.2 + np.log2(max(2, values[-1] / n)))
+        some = np.sort(r.integers(0, n, 50))
+        assert [e.select(int(i)) for i in some] == values[some].tolist()
+        assert np.concatenate(list(e.blocks(5000))).tolist() == values.tolist()
+        assert [e.find(int(values[i])) for i in some[:9]] == [int(np.searchsorted(values, values[i], "right")) for i in some[:9]]
+    far = np.array([0, 1, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert EliasFano.encode(far).values().tolist() == far.tolist()
+
+
 def test_elias_fano_refuses():
     with pytest.raises(ValueError):
         EliasFano.encode([2, 1])
@@ -80,6 +96,14 @@ def test_file_by_document(tmp_path):
     f = token_file.TokenFile(path)
     assert [(k, x.tobytes()) for k, _, x in f.documents(slab=1)] == docs
     assert [f.document(i).tobytes() for i in range(3)] == [d for _, d in docs]
+    assert [f.document_at(p) for p in (0, 1, 2, 701)] == [0, 0, 2, 2]
+    wide = [(k, b"ab" * (i % 3)) for i, k in enumerate([None, None, -(1 << 63), -5, -5, 0, (1 << 63) - 1] + [(1 << 63) - 1] * 9000)]
+    token_file.write_file(f"file://{tmp_path}/w.bin", iter(wide), 2)
+    w = token_file.TokenFile(f"file://{tmp_path}/w.bin")
+    assert [(k, x.tobytes()) for k, _, x in w.documents()] == wide
+    assert w.nbytes() == sum(x.nbytes for e in (w.bounds, w.keys) for x in vars(e).values() if isinstance(x, np.ndarray)) < 9007 * 9
+    with pytest.raises(ValueError):
+        token_file.write_file(f"file://{tmp_path}/x.bin", iter([(3, b""), (2, b"")]), 2)
     raw = (tmp_path / "t.bin").read_bytes()
     (tmp_path / "cut.bin").write_bytes(raw[:-3])
     with pytest.raises(ValueError):
