@@ -2,14 +2,17 @@
 
 Documents are tokenized, ended and, where longer than a sequence, cut; a full piece is a sequence
 of its own. The other pieces are dealt into shards of about SHARD pieces by a hash of a row number,
-and each shard is packed alone: best fit in descending order, then moves, one-for-one and
-two-for-one swaps between underfull bins that raise the sum of squared fills until bins empty. All
-underfull bins are partners. A shard stops at its lower bound, or where no bin has a step left, which
-can be above the bound where few pieces make up a sequence. Only lengths enter the shards, so a shard's size has a bound.
+and each shard is packed alone: pieces go to the bin with the least room that holds them, in the order in which they
+come. Then the local search moves pieces and swaps them one for one, two for one and one for two between underfull
+bins, as long as that raises the sum of squared fills, until bins empty. All underfull bins are partners. Where no
+bin has a step left above the lower bound, the search opens full bins too, those of most pieces first and twice as many
+each time: their pieces and those of the underfull bins are put back by best fit in descending order, and the search
+goes on from there. A result with more bins is taken back. It ends at the lower bound, or once all bins have been opened
+without gain. Only lengths enter the shards, so a shard's size has a bound; a shard's last bin is its only loss.
 
 Defined results: a null or empty text is a document of the end id alone; a null doc_id stays null;
-repeated rows and rows that share a doc_id are documents of their own; an empty table gives no
-rows; other columns are ignored.
+repeated rows and rows that share a doc_id are documents of their own; a very long text is cut into full pieces, the
+first one shorter; of pieces of one length the earlier goes first, and of bins with equal room any; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from .common import Scratch
 from .tokens import batches, encoder
 
 #: Pieces in a shard, on average.
-SHARD = 50_000
+SHARD = 10_000
+
+#: Full bins that the search opens first when it is stuck.
+OPENED = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, ids binary"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, moves long, swaps long"
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -73,7 +79,7 @@ class Bins:
         self.mask = 0
         self.takes: dict[int, tuple[int, int]] = {}
         self.room_takes: dict[int, tuple[int, int]] = {}
-        self.gone: set[int] = set()
+        self.moves = self.swaps = 0
 
     def bound(self) -> int:
         return -(-sum(self.lengths) // self.size)
@@ -100,8 +106,9 @@ class Bins:
             return None
         return next(iter(self.by_room[n + (m & -m).bit_length() - 1]))
 
-    def best_fit(self) -> None:
-        for i in sorted(range(len(self.lengths)), key=lambda i: (-self.lengths[i], i)):
+    def place(self, order) -> None:
+        """Items, in the given order, into the bin with the least room that holds each, or a new one."""
+        for i in order:
             n = self.lengths[i]
             b = self._fit(n)
             if b is None:
@@ -111,6 +118,11 @@ class Bins:
             self.items[b].append(i)
             self._set(b, self.room[b] - n)
 
+    def _clear(self, b: int) -> list[int]:
+        held, self.items[b] = self.items[b], []
+        self._set(b, self.size)
+        return held
+
     def _exchange(self, a: int, out: list[int], b: int, into: list[int]) -> None:
         """Items `out` of bin a go to bin b, items `into` of b to a."""
         d = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in into)
@@ -186,31 +198,49 @@ class Bins:
             ones, twos = self._takes(b)
             if b != a and ((ones | twos if both else ones) >> m) & 1:
                 self._exchange(a, out, b, self._find(b, m))
+                self.moves, self.swaps = self.moves + (not m), self.swaps + bool(m)
                 return True
         raise AssertionError("the index names a bin that has no such items")
 
     def search(self) -> None:
         """Empty the emptiest bins into underfull ones until the lower bound is met, or no bin has a step left:
         bins that could not be emptied are tried again as long as a round changes something."""
-        need, changed = self.bound(), True
-        left = self.used()
+        need, left, changed = self.bound(), self.used(), True
         while changed and left > need:
             changed = False
             for a in sorted((b for r, bs in self.by_room.items() if r for b in bs), key=lambda b: (-self.room[b], b)):
+                before = bool(self.items[a])
                 while self.items[a] and self._improve(a):
                     changed = True
-                if not self.items[a] and self.room[a] == self.size and a not in self.gone:
-                    self.gone.add(a)
+                if before and not self.items[a]:
                     left -= 1
                     if left <= need:
                         return
 
-
-def pack(lengths, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bin, offset) of each length, bins numbered from 0, and the bins' number."""
+    def open_up(self, opened: int = OPENED) -> None:
+        """The search where it is stuck above the bound: with full bins opened, twice as many each time, up to all."""
+        while self.used() > self.bound():
+            full = sorted((b for b, held in enumerate(self.items) if held and not self.room[b]), key=lambda b: (-len(self.items[b]), b))
+            under = [b for b, held in enumerate(self.items) if held and self.room[b]]
+            before, was = [list(x) for x in self.items], self.used()
+            loose = [i for b in under + full[:opened] for i in self._clear(b)]
+            self.place(sorted(loose, key=lambda i: (-self.lengths[i], i)))
+            self.search()
+            if self.used() > was:
+                for b in range(len(self.items)):
+                    self.items[b] = before[b] if b < len(before) else []
+                    self._set(b, self.size - sum(self.lengths[i] for i in self.items[b]))
+            if opened >= len(full):
+                return
+            opened *= 2
+
+
+def pack(lengths, size: int) -> tuple[np.ndarray, np.ndarray, Bins]:
+    """(bin, offset) of each length, bins numbered from 0, and the bins."""
     bins = Bins(lengths, size)
-    bins.best_fit()
+    bins.place(range(len(bins.lengths)))
     bins.search()
+    bins.open_up()
     where, offset, k = np.zeros(len(bins.lengths), np.int64), np.zeros(len(bins.lengths), np.int64), 0
     for held in bins.items:
         at = 0
@@ -218,11 +248,11 @@ def pack(lengths, size: int) -> tuple[np.ndarray, np.ndarray, int]:
             where[i], offset[i] = k, at
             at += bins.lengths[i]
         k += bool(held)
-    return where, offset, k
+    return where, offset, bins
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, blank: bool = True, with_ids: bool = False) -> DataFrame:
-    """One row a piece, with its sequence and its place there; with_ids adds the ids, as uint32 bytes."""
+    """One row a piece, with its sequence and its place there, and the moves and swaps of its shard's search; with_ids adds the ids, as uint32 bytes."""
     scratch = Scratch(docs.sparkSession, "packing")
     cuts = scratch.save(pieces(docs, tokenizer, end_id, size, blank, with_ids), "pieces")
     n = cuts.filter(F.col("length") < size).count()
@@ -232,14 +262,16 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int
 
     def shard(group: pa.Table) -> pa.Table:
         group = group.sort_by("uid")
-        where, offset, _ = pack(group.column("length").to_numpy(), size)
+        where, offset, bins = pack(group.column("length").to_numpy(), size)
         base = group.column("shard")[0].as_py() << 40
-        kept = group.select([x.split()[0] for x in schema.split(", ") if x.split()[0] not in ("sequence_id", "offset", "ids")])
-        kept = kept.append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
+        kept = group.select([x.split()[0] for x in schema.split(", ") if x.split()[0] in group.column_names and x.split()[0] != "ids"])
+        steps = [(k, pa.array(np.full(len(where), v, np.int64))) for k, v in (("moves", bins.moves), ("swaps", bins.swaps))]
+        for name, column in [("sequence_id", pa.array(where + base)), ("offset", pa.array(offset)), *steps]:
+            kept = kept.append_column(name, column)
         return kept.append_column("ids", group.column("ids")) if with_ids else kept
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "uid", *extra]
     short = cuts.filter(F.col("length") < size).select(*columns, F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
     packed = short.groupBy("shard").applyInArrow(shard, schema)
-    full = cuts.filter(F.col("length") == size).select(*columns[:5], (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *extra)
+    full = cuts.filter(F.col("length") == size).select(*columns[:5], (-1 - F.col("uid")).alias("sequence_id"), *[F.lit(0).cast("long").alias(c) for c in ("offset", "moves", "swaps")], *extra)
     return packed.unionByName(full)

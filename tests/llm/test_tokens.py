@@ -133,6 +133,7 @@ def test_packing(spark):
     rows = op5_best_fit_packing(spark, f"{DATA}/sf0.001").collect()
     n = _check_pieces(rows, docs, 2048, 0)
     assert n <= -(-sum(r["length"] for r in rows) // 2048) + 2
+    assert {r["swaps"] > 0 for r in rows if r["length"] < 2048} == {True}
 
 
 def test_packing_odd_rows(spark, odd, none, monkeypatch):
@@ -154,11 +155,12 @@ def test_cut():
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_search_packs_whole(lengths):
-    where, offset, n = packing.pack(lengths, 100)
+    where, offset, bins = packing.pack(lengths, 100)
+    n = bins.used()
     fill = np.bincount(where, lengths, n) if lengths else np.zeros(0)
     assert (fill <= 100).all() and (fill > 0).all()
     first = packing.Bins(lengths, 100)
-    first.best_fit()
+    first.place(sorted(range(len(lengths)), key=lambda i: -lengths[i]))
     assert n <= first.used()
 
 
@@ -175,11 +177,23 @@ def test_search_empties_bins():
     assert bins.used() == 2 and squares() > before
 
 
+def test_the_search_decides():
+    lengths = np.random.default_rng(1).choice([*range(5, 120), *range(300, 2000, 7)], 1500)
+    bins = packing.pack(lengths, 2048)[2]
+    start = packing.Bins(lengths, 2048)
+    start.place(range(1500))
+    falling = packing.Bins(lengths, 2048)
+    falling.place(np.argsort(-lengths, kind="stable").tolist())
+    assert start.used() > bins.used() <= falling.used() and bins.moves + bins.swaps > 100
+
+
 def test_search_ends_where_no_bin_has_a_step():
     lengths = np.random.default_rng(0).integers(300, 901, 4000)
     bins = packing.Bins(lengths, 2048)
-    bins.best_fit()
+    bins.place(range(4000))
+    start = bins.used()
     bins.search()
+    assert bins.used() < start and bins.moves and bins.swaps
     fill = [sum(bins.lengths[i] for i in x) for x in bins.items]
     assert sorted(i for x in bins.items for i in x) == list(range(4000)) and max(fill) <= 2048
     assert all(2048 - f == r for f, r in zip(fill, bins.room, strict=True))
