@@ -44,7 +44,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(table(spark, sf_dir, "pages"), least=0).filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

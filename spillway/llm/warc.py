@@ -3,18 +3,20 @@
 A record is a gzip member of its own (or plain). The reader checks members, version lines,
 lengths and digests. After a failed check it searches for the next member that opens with a
 version line, or the next plain version line, goes on there, and reports the bytes between as a
-gap: nothing after a damaged place is lost.
+gap: nothing after a damaged place is lost. Headers are read to their end and records whole, however long they
+are. Gaps are rows of the reader, and `salvage_log` gives and logs those of a read.
 
 Defined results: null html is an empty payload, equal to that of an empty text; rows that share the
 largest page_id of a payload are all responses; a null page_id stays null and is a revisit of a
-response with an id, or a response where no copy has an id; null urls are left out of the headers;
-an empty table gives no archives and no rows; other columns are ignored.
+response with an id, or a response where no copy has an id; null urls are left out of the headers; very
+long payloads and urls are written and read whole, a record at a time in memory; an empty table gives no archives and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, open_fs, skew_lookup
 
+#: Files that a log names, those with the most bytes lost; the returned rows have all.
+LOGGED = 20
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:spillway:page:"
 FILES = "path string, records long, bytes long"
@@ -96,7 +101,6 @@ class Salvage:
     read: object
     size: int
     window: int = 1 << 20
-    most: int = 1 << 31
     _at: int = field(default=0, init=False)
     _held: bytes = field(default=b"", init=False)
 
@@ -120,8 +124,6 @@ class Salvage:
                 step = min(2 * step, self.window)
                 if most and held >= most:
                     break
-                if held > self.most:
-                    raise Damaged("record too large")
         except zlib.error as e:
             raise Damaged(f"bad member: {e}") from e
         return b"".join(out), pos - len(inflate.unused_data)
@@ -148,13 +150,26 @@ class Salvage:
         return headers, block, b + 4
 
     def _plain(self, at: int) -> Record:
-        raw = self._bytes(at, min(1 << 16, self.size - at))
-        head = raw.find(b"\r\n\r\n")
-        found = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", raw[: head + 2]) if head >= 0 else None
-        if not found:
-            raise Damaged("no end of headers or no content length")
-        n = head + 8 + int(found[1])
-        if at + n > self.size or n > self.most:
+        headers, step, begin, length = b"", 4096, 0, None
+        while True:  # line by line, until the empty one; a line that is no header ends it early
+            end = headers.find(b"\r\n", begin)
+            if end < 0:
+                if at + len(headers) >= self.size or len(headers) - begin > 4096 and b":" not in headers[begin : begin + 4096]:
+                    raise Damaged("no end of headers")
+                headers, step = bytes(self._bytes(at, min(step, self.size - at))), 2 * step
+                continue
+            line = headers[begin:end]
+            if not line:
+                break
+            if begin and b":" not in line and line[:1] not in (b" ", b"\t"):
+                raise Damaged("bad header line")
+            if found := re.fullmatch(rb"(?i)content-length:\s*(\d+)\s*", line):
+                length = int(found[1])
+            begin = end + 2
+        if length is None:
+            raise Damaged("no content length")
+        n = begin + 2 + length + 4
+        if at + n > self.size:
             raise Damaged("record cut short")
         headers, block, n = self._parse(self._bytes(at, n), False)
         return Record(at, at + n, headers, block)
@@ -270,6 +285,14 @@ def _row(x: Record | Gap, path: str) -> tuple:
     return x.page(), size, digest, x.type, x.page("warc-refers-to"), path, None, None, None
 
 
+def salvage_log(rows: DataFrame) -> DataFrame:
+    """The gaps among the rows of a read: file, gap_start, gap_end, gap_reason. Each file's number of them and of their bytes is logged."""
+    gaps = rows.filter("record_type = 'gap'").select("file", "gap_start", "gap_end", "gap_reason")
+    for r in gaps.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("size")).orderBy(F.desc("size")).limit(LOGGED).collect():
+        logging.getLogger(__name__).warning("%s: %d gaps, %d bytes", r["file"], r["n"], r["size"])
+    return gaps
+
+
 def with_revisits(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
     """pages with payload_hex and refers_to: the largest page_id with an equal payload of `least` bytes or more, where that is another one."""
     text = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -283,10 +306,12 @@ def with_revisits(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFra
 
 
 def warc_round_trip(pages: DataFrame, least: int = 0, compress: bool = True) -> DataFrame:
-    """Write pages (page_id, url, html) as archives in the shared folder; the records read back from them."""
+    """Write pages (page_id, url, html) as archives in the shared folder; the records read back from them. Gaps are logged and left out."""
     scratch = Scratch(pages.sparkSession, "warc")
     files = scratch.save(write_archives(with_revisits(pages, scratch, least), scratch.folder("files"), compress), "manifest")
-    return read_archives(files, files.count())
+    rows = scratch.save(read_archives(files, files.count()), "records")
+    salvage_log(rows)
+    return rows.filter("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
