@@ -371,6 +371,64 @@ def test_nearest_ties_and_odd_vectors(spark, block):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def _exact(ids, vectors, k, every):
+    """Brute force by whole numbers: (query id, rank, vec id)."""
+    v = np.array(vectors, np.int64)
+    out = set()
+    for i in range(len(ids)):
+        if ids[i] % every == 0:
+            s = v @ v[i]
+            order = [j for j in np.lexsort((ids, -s)).tolist() if ids[j] != ids[i]][:k]
+            out |= {(int(ids[i]), r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(order)}
+    return out
+
+
+@pytest.mark.parametrize("block", [16_384, 150])
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark, block):
+    r = np.random.default_rng(9)
+    ids = r.permutation(2000)
+    vectors = r.integers(-2, 3, (2000, 4))
+    vectors[(vectors == 0).all(axis=1)] = 1
+    df = spark.createDataFrame([(int(i), v.astype(float).tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>").repartition(5)
+    got = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ann.nearest(df, k=20, every=20, block=block, sample=500).collect()}
+    assert got == _exact(ids, vectors, 20, 20)
+
+
+def test_recall_and_work_over_several_blocks(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    pdf = df.toPandas()
+    v = np.stack([np.asarray(x, float) for x in pdf.embedding])
+    rows = ann.nearest(df, k=20, every=20, block=300, sample=700).collect()
+    got = defaultdict(set)
+    for x in rows:
+        got[x["query_id"]].add(x["vec_id"])
+    hit, ids = [], pdf.vec_id.to_numpy()
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[i]
+        s[i] = -np.inf
+        hit.append(len(set(ids[np.argsort(-s)[:20]].tolist()) & got[int(ids[i])]) / 20)
+    done = np.mean([x["n_verified"] for x in rows if x["rank"] == 1]) / len(ids)
+    assert np.mean(hit) >= 0.9 and done < 0.95
+
+
+def test_clusters_leave_most_blocks_alone(spark):
+    r = np.random.default_rng(4)
+    centre = r.standard_normal((40, 32)) * 3
+    x = centre[np.arange(4000) % 40] + 0.1 * r.standard_normal((4000, 32))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    rows = ann.nearest(df, k=10, every=200, block=200, sample=1000).collect()
+    got = defaultdict(set)
+    for y in rows:
+        got[y["query_id"]].add(y["vec_id"])
+    unit = x / 1
+    hit = []
+    for q in range(0, 4000, 200):
+        s = unit @ unit[q]
+        s[q] = -np.inf
+        hit.append(len(set(np.argsort(-s)[:10].tolist()) & got[q]) / 10)
+    assert np.mean(hit) >= 0.9 and np.mean([y["n_verified"] for y in rows if y["rank"] == 1]) < 2000
+
+
 def test_stop_is_a_chi_square_test():
     assert ann.quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3) and ann.quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
     r = np.random.default_rng(0)
