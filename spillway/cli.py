@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--algorithm", default="radix", choices=ALGORITHMS)
     s.add_argument("--memory", type=int, default=100 * MIB, help="bytes, for the plan's chunks")
     s.add_argument("--parts", action="store_true", help="leave a folder of sorted parts")
+    s.add_argument("--skip-sort", action="store_true", help="the input is a folder of sorted files: merge them")
     g = sub.add_parser("generate")
     g.add_argument("output", nargs="?", default="input")
     g.add_argument("--bytes", type=int, default=1500 * MIB)
@@ -52,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         with timed(a.command):
             if a.command == "sort":
-                options = Options(dtype=a.dtype, algorithm=a.algorithm, memory_bytes=a.memory)
+                options = Options(dtype=a.dtype, algorithm=a.algorithm, memory_bytes=a.memory, skip_sort=a.skip_sort)
                 LOG.info("%s", sort_plan(sum(n for _, n in input_files(a.input)), options))
                 sort_file(spark, a.input, a.output, options, assemble=not a.parts)
             elif a.command == "generate":

@@ -92,13 +92,21 @@ def array_sort_by(values: Column, less) -> Column:
 
 
 def sort_file(spark: SparkSession, source: str, target: str, options=None, assemble: bool = True, mode: str = "overwrite") -> None:
-    """A file of fixed-width integers to an ascending file of equal size; the input stays as it is."""
+    """A file of fixed-width integers to an ascending file of equal size; the input stays as it is.
+
+    With options.skip_sort the input's files are sorted already, each by itself, and are merged without a sort. assemble copies
+    the sorted parts into one file, which the driver does alone: for outputs of more than one writer can copy, leave the parts.
+    """
     from ..plans.planning import chunk_bytes
     from ..sources import read_fixedbin, write_fixedbin
     from ..sources.fixedbin import input_files
     from ..types import Options, dtype
+    from .merge import merge_files
 
     options = options or Options()
+    if options.skip_sort:
+        write_fixedbin(merge_files(spark, [source], options.dtype), target, options.dtype, assemble, mode)
+        return
     size = sum(n for _, n in input_files(source))
     values = read_fixedbin(spark, source, options.dtype, chunk_bytes(size, dtype(options.dtype).width, spark.sparkContext.defaultParallelism, options.memory_bytes))
     with sort_algorithm(spark, options.algorithm):

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chunk_full_name, div_up, num_format, round_down, round_up, size_format
-from .operators import generate, merge, radix, sort, verify
+from .operators import crc64, generate, merge, radix, sort, verify
 from .plans import planning
+from .scratch import Scratch
+from .sources import read_fixedbin, write_fixedbin
+from .streaming import merge_runs, write_runs
+from .types import Options
 
 MIB = 1 << 20
 
@@ -62,8 +66,8 @@ def chunk_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).select(F.col("o_custkey").alias("value"), F.col("chunk_id").alias("src_chunk"), "o_orderkey")
-    # the chunks are the parts of one table, so their union is the table itself
-    return sort.with_position(merge.kway_merge([rows], "value", "src_chunk", "o_orderkey")).drop("o_orderkey")
+    chunks = [rows.filter(F.col("src_chunk") % BASE == k) for k in range(BASE)]
+    return sort.with_position(merge.kway_merge(chunks, "value", "src_chunk", "o_orderkey")).drop("o_orderkey")
 
 
 def two_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +156,134 @@ def mem_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.memory_plan(planning.grid(spark, [1, 2, 4, 8, 16]), 100 * MIB, 0.5)
 
 
+def file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' keys in the order of the orders, written as u32 records and read back in chunks with their places."""
+    path = Scratch(spark, "file").path("orders.u32")
+    write_fixedbin(_table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_custkey").alias("value")), path, assemble=True)
+    return read_fixedbin(spark, path, chunk_bytes=4 * CHUNK, position=True)
+
+
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks in which a reader takes a file: a partition each."""
+    path = Scratch(spark, "file").path("orders.u32")
+    write_fixedbin(_table(spark, sf_dir, "orders").orderBy("o_orderkey").select(F.col("o_custkey").alias("value")), path)
+    rows = read_fixedbin(spark, _one_file(path), chunk_bytes=4 * CHUNK, position=True)
+    read = rows.groupBy(F.spark_partition_id().cast("long").alias("chunk_id")).agg((F.min("pos") * 4).alias("byte_offset"), (F.count("*") * 4).alias("byte_size"), F.sum("value").alias("total"))
+    return read
+
+
+def _one_file(path: str) -> str:
+    """The folder's records as one file beside it."""
+    from pyspark.sql import SparkSession as S
+
+    write_fixedbin(read_fixedbin(S.active(), path), f"{path}.one", assemble=True)
+    return f"{path}.one"
+
+
+def _unsorted_file(spark: SparkSession, sf_dir: str, scratch: Scratch) -> str:
+    write_fixedbin(_keys(spark, sf_dir), scratch.path("input"), assemble=True)
+    return scratch.path("input")
+
+
+def sort_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of keys, sorted into another file, which is read back with its places."""
+    scratch = Scratch(spark, "file")
+    sort.sort_file(spark, _unsorted_file(spark, sf_dir, scratch), scratch.path("output"))
+    return read_fixedbin(spark, scratch.path("output"), chunk_bytes=4 * 16 * CHUNK, position=True)
+
+
+def check_sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan check of an input and its sorted parts, and of the input against itself, which is not sorted."""
+    scratch = Scratch(spark, "file")
+    source = _unsorted_file(spark, sf_dir, scratch)
+    sort.sort_file(spark, source, scratch.path("output"), assemble=False)
+    rows = []
+    for name, target in (("sorted", scratch.path("output")), ("input", source)):
+        found = verify.check_file(spark, source, target)
+        rows.append((name, found["ok"], found["sizes"][0], found["sizes"][1]))
+    return spark.createDataFrame(rows, "target string, ok boolean, input_bytes long, output_bytes long")
+
+
+def hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shuffled sequence is generated with its checksum kept, sorted, and checked by that checksum."""
+    scratch = Scratch(spark, "file")
+    n = _table(spark, sf_dir, "orders").count()
+    scratch.folder("")
+    generate.write_test_data(spark, scratch.path("input"), 4 * n, "shuffle", "u32", 5, scratch.path("origin.hash"))
+    sort.sort_file(spark, scratch.path("input"), scratch.path("output"))
+    found = [verify.check_file(spark, scratch.path("input"), scratch.path(x), hash_path=scratch.path("origin.hash")) for x in ("output", "input")]
+    return spark.createDataFrame([(found[0]["ok"], found[0]["actual"], found[1]["ok"])], "ok boolean, crc string, input_ok boolean")
+
+
+def _sorted_chunks(spark: SparkSession, sf_dir: str, scratch: Scratch) -> str:
+    """Sorted files of customers' keys, each of a range of the orders."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("value"))
+    write_fixedbin(rows.repartitionByRange(11, "o_orderkey").sortWithinPartitions("value").select("value"), scratch.path("chunks"))
+    return scratch.path("chunks")
+
+
+def merge_sorted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted files merged without a sort or a shuffle."""
+    scratch = Scratch(spark, "file")
+    return sort.with_position(merge.merge_files(spark, [_sorted_chunks(spark, sf_dir, scratch)]))
+
+
+def merge_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the merge tree, level by level."""
+    scratch = Scratch(spark, "file")
+    return sort.with_position(merge.merge_by_tree(spark, _sorted_chunks(spark, sf_dir, scratch), scratch.path("tree"), BASE)[0])
+
+
+def skip_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted files to one sorted file, with the sort left out."""
+    scratch = Scratch(spark, "file")
+    sort.sort_file(spark, _sorted_chunks(spark, sf_dir, scratch), scratch.path("output"), Options(skip_sort=True))
+    return read_fixedbin(spark, scratch.path("output"), position=True)
+
+
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys read as a stream, a sorted run for each micro-batch, and the runs merged."""
+    scratch, path = Scratch(spark, "stream"), f"{sf_dir}/lineitem.parquet"
+    stream = spark.readStream.schema(_table(spark, sf_dir, "lineitem").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = write_runs(stream.select(((F.col("l_orderkey") * 2654435761) % 4294967296).alias("value")), scratch.path("runs"), scratch.path("state"))
+    query.awaitTermination()
+    return sort.with_position(merge_runs(spark, scratch.path("runs")))
+
+
+def random_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sure of uniform random values: their number and range, and that they are about uniform over eight ranges."""
+    n = _table(spark, sf_dir, "orders").count()
+    share = F.shiftright("value", 29)
+    parts = generate.uniform(spark, n, 11).groupBy(share.alias("part")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return parts.agg(F.sum("n").alias("n"), ((F.min("low") >= 0) & (F.max("high") < 1 << 32)).alias("in_range"), (F.count("*") == 8).alias("all_parts"), F.max(F.abs(F.col("n") * 8 - n) < 0.3 * n).alias("about_uniform"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (sort_u32, sort_i32_signed, sort_comparator_desc, sort_key_functor, chunk_scan, chunk_sort, kway_merge, two_way_merge, merge_tree_l1, is_sorted_check, extremes, size_check, radix_bins, radix_bin_offsets, seq_generator, shuffle_roundtrip, random_generator, fmt_size, fmt_num, chunk_name, align, crc64_known_answer, crc64_of_keys, chunk_plan, mem_plan)
+    for f in (sort_u32, sort_i32_signed, sort_comparator_desc, sort_key_functor, chunk_scan, chunk_sort, kway_merge, two_way_merge, merge_tree_l1, is_sorted_check, extremes, size_check, radix_bins, radix_bin_offsets, seq_generator, shuffle_roundtrip, random_generator, fmt_size, fmt_num, chunk_name, align, crc64_known_answer, crc64_of_keys, chunk_plan, mem_plan, file_roundtrip, file_chunks, sort_file, check_sorted_file, hash_check, merge_sorted_files, merge_tree_files, skip_sort, stream_merge, random_summary)
 }
 
+
+def crc64_sql(words: str, levels: int = 21) -> str:
+    """SQL for the checksum of 32-bit words: words is a query of (q, x), q the place from the end, from 0, and x the word.
+
+    The checksum is linear: m<k> holds what 2^k zero bits make of each single bit, each the square of the one before. A word's own
+    checksum is 32 zero bits on it; two neighbours' is the later one's, combined with the earlier one's moved by the later one's bits.
+    """
+    bit, on = "CAST(i AS UBIGINT)", "((a.c >> b.i) & 1) = 1"
+    out = [f"m0 AS MATERIALIZED (SELECT {bit} AS i, CASE WHEN i = 0 THEN CAST('{crc64.REFLECTED}' AS UBIGINT) ELSE CAST(1 AS UBIGINT) << CAST(greatest(i - 1, 0) AS UBIGINT) END AS c FROM range(64) t(i))"]
+    for k in range(5 + levels):
+        out.append(f"m{k + 1} AS MATERIALIZED (SELECT a.i, bit_xor(b.c) AS c FROM m{k} a JOIN m{k} b ON {on} GROUP BY a.i)")
+    out.append(f"w AS MATERIALIZED ({words})")
+    out.append("l0 AS MATERIALIZED (SELECT q, bit_xor(b.c) AS x FROM (SELECT q, CAST(x AS UBIGINT) AS c FROM w) a JOIN m5 b ON ((a.c >> b.i) & 1) = 1 GROUP BY q)")
+    for k in range(levels):
+        moved = f"SELECT q, bit_xor(b.c) AS x FROM (SELECT q, x AS c FROM l{k} WHERE q % 2 = 1) a JOIN m{5 + k} b ON {on} GROUP BY q"
+        out.append(f"l{k + 1} AS MATERIALIZED (SELECT q // 2 AS q, bit_xor(x) AS x FROM (SELECT q, x FROM l{k} WHERE q % 2 = 0 UNION ALL {moved}) t GROUP BY q // 2)")
+    return f"WITH {', '.join(out)} SELECT lpad(lower(to_hex(coalesce(bit_xor(x), CAST(0 AS UBIGINT)))), 16, '0') AS crc FROM l{levels}"
+
+
+_BY_VALUE = """SELECT CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS pos, o_custkey AS value FROM orders"""
+
 ORACLES: dict[str, str] = {
     "sort_u32": """SELECT CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS pos, value FROM (SELECT (l_orderkey * 2654435761) % 4294967296 AS value FROM lineitem) t""",
     "sort_i32_signed": """SELECT CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS pos, value FROM (SELECT CAST(round(c_acctbal * 100) AS BIGINT) AS value FROM customer) t""",
@@ -181,4 +308,15 @@ ORACLES: dict[str, str] = {
     "crc64_known_answer": """SELECT 'e9c6d914c4b8d9ca' AS crc""",
     "chunk_plan": """SELECT CAST(threads AS BIGINT) AS threads, CAST(sz AS BIGINT) AS input_bytes, CAST(l0 AS BIGINT) AS l0_bytes, CAST(sz // l0 AS BIGINT) AS chunk_number, CAST((l0 // 4) * 4 AS BIGINT) AS chunk_bytes FROM (SELECT threads, sz, CASE WHEN 104857600 >= sz THEN sz // (threads * 2) ELSE 104857600 // threads END AS l0 FROM (VALUES (1),(2),(4),(6),(8),(16)) a(threads) CROSS JOIN (VALUES (4194304),(104857600),(1572864000)) b(sz)) t""",
     "mem_plan": """SELECT CAST(threads AS BIGINT) AS threads, CAST(52428800 // threads AS BIGINT) AS imem, CAST(52428800 // threads AS BIGINT) AS omem, CAST(104857600 // threads AS BIGINT) AS tmem FROM (VALUES (1),(2),(4),(8),(16)) a(threads)""",
+    "crc64_of_keys": crc64_sql("SELECT row_number() OVER (ORDER BY (l_orderkey * 2654435761) % 4294967296 DESC) - 1 AS q, (l_orderkey * 2654435761) % 4294967296 AS x FROM lineitem"),
+    "file_roundtrip": """SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos, o_custkey AS value FROM orders""",
+    "file_chunks": """SELECT pos // 1024 AS chunk_id, min(pos) * 4 AS byte_offset, count(*) * 4 AS byte_size, CAST(sum(o_custkey) AS BIGINT) AS total FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_custkey FROM orders) t GROUP BY pos // 1024""",
+    "sort_file": """SELECT CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS pos, value FROM (SELECT (l_orderkey * 2654435761) % 4294967296 AS value FROM lineitem) t""",
+    "check_sorted_file": """SELECT target, target = 'sorted' AS ok, n * 4 AS input_bytes, n * 4 AS output_bytes FROM (SELECT count(*) AS n FROM lineitem) c CROSS JOIN (VALUES ('sorted'), ('input')) t(target)""",
+    "hash_check": f"""SELECT true AS ok, crc, false AS input_ok FROM ({crc64_sql("SELECT row_number() OVER (ORDER BY v DESC) - 1 AS q, v AS x FROM (SELECT row_number() OVER () - 1 AS v FROM orders) o")}) c""",
+    "merge_sorted_files": _BY_VALUE,
+    "merge_tree_files": _BY_VALUE,
+    "skip_sort": _BY_VALUE,
+    "stream_merge": """SELECT CAST(row_number() OVER (ORDER BY value) - 1 AS BIGINT) AS pos, value FROM (SELECT (l_orderkey * 2654435761) % 4294967296 AS value FROM lineitem) t""",
+    "random_summary": """SELECT count(*) AS n, true AS in_range, true AS all_parts, true AS about_uniform FROM orders""",
 }

@@ -1 +1,3 @@
-"""Streams. Inputs of this engine are bounded files and a global order needs all rows, so it has no streaming operator."""
+from .runs import merge_runs, write_runs
+
+__all__ = ["merge_runs", "write_runs"]

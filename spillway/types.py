@@ -55,7 +55,7 @@ def dtype(name: str) -> DType:
 
 @dataclass(frozen=True)
 class Options:
-    """What a run may choose. memory_bytes and io_ratio only enter plans and reports: Spark manages its own memory."""
+    """What a run may choose. skip_sort: the input's files are sorted already. memory_bytes and io_ratio only enter plans and reports: Spark manages its own memory."""
 
     dtype: str = "u32"
     algorithm: str = "radix"
@@ -65,6 +65,7 @@ class Options:
     flat_merge: bool = True
     fan_in: int = 0
     tree_height: int = 2
+    skip_sort: bool = False
 
     def __post_init__(self):
         dtype(self.dtype)

@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spillway.operators import generate, sort, verify
 from spillway.sources import read_fixedbin, write_fixedbin
@@ -121,3 +122,76 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.main(["print", o, "-n", "3"]) == 0
     assert cli.main(["sort", str(tmp_path / "none"), o]) == 1
     assert "sort" in (tmp_path / "log").read_text()
+
+
+def test_merges_sorted_files(spark, tmp_path):
+    from spillway.operators import merge
+
+    r = np.random.default_rng(2)
+    for name in DTYPES:
+        kind = dtype(name)
+        runs = [np.sort(r.integers(kind.least, kind.most, n, dtype=kind.layout, endpoint=True)) for n in (0, 1, 700, 3000)]
+        runs.append(np.full(4000, 7, kind.layout))  # one value that is half of all
+        folder = tmp_path / name
+        folder.mkdir()
+        for i, x in enumerate(runs):
+            x.tofile(folder / f"part-{i}")
+        df = merge.merge_files(spark, [str(folder)], name, partitions=7)
+        want = np.sort(np.concatenate(runs)).tolist()
+        assert [int(x["value"]) for x in df.collect()] == want
+        sizes = [x["count"] for x in df.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) - min(sizes) <= 1 and "Exchange" not in df._jdf.queryExecution().toString()
+        got, levels = merge.merge_by_tree(spark, str(folder), str(tmp_path / f"{name}-tree"), 2, name)
+        assert [int(x["value"]) for x in got.collect()] == want and levels == 2
+        sort.sort_file(spark, str(folder), str(tmp_path / f"{name}-out"), Options(dtype=name, skip_sort=True))
+        assert _read(tmp_path / f"{name}-out", kind.layout) == want
+    (tmp_path / "none").mkdir()
+    assert merge.merge_files(spark, [str(tmp_path / "none")]).count() == 0
+    assert merge.merge_by_tree(spark, str(tmp_path / "none"), str(tmp_path / "t"), 2)[0].count() == 0
+
+
+def test_ranks_are_cut_exactly(tmp_path):
+    from pyarrow.fs import LocalFileSystem
+
+    from spillway.operators import merge
+
+    kind = dtype("i16")
+    runs = [np.sort(np.random.default_rng(k).integers(-3, 4, 9 * k).astype("<i2")) for k in range(4)]
+    files = []
+    for i, x in enumerate(runs):
+        x.tofile(tmp_path / str(i))
+        files.append(merge._Sorted(str(tmp_path / str(i)), x.nbytes, kind, LocalFileSystem()))
+    everything = np.sort(np.concatenate(runs))
+    before = [0] * 4
+    for rank in range(len(everything) + 1):
+        places = merge.cut(files, rank, kind)
+        assert sum(places) == rank and all(a <= b for a, b in zip(before, places, strict=True))
+        assert sorted(v for x, n in zip(runs, places, strict=True) for v in x[:n].tolist()) == everything[:rank].tolist()
+        before = places
+
+
+def test_runs_of_a_stream(spark, tmp_path):
+    from spillway.streaming import merge_runs, write_runs
+
+    values = np.random.default_rng(3).integers(0, 1 << 32, 5000)
+    spark.createDataFrame([(int(x),) for x in values], "value long").repartition(3).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second start finds nothing new
+        stream = spark.readStream.schema("value long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        write_runs(stream, str(tmp_path / "runs"), str(tmp_path / "state")).awaitTermination()
+    assert len(list((tmp_path / "runs").iterdir())) == 3
+    assert [r["value"] for r in merge_runs(spark, str(tmp_path / "runs")).collect()] == sorted(values.tolist())
+    assert merge_runs(spark, str(tmp_path / "no")).count() == 0
+
+
+def test_merges_spread_a_value_that_many_share(spark, request):
+    from spillway.operators import merge
+
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    request.addfinalizer(lambda: spark.conf.unset(name))
+    a = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11).cast("long").alias("value"))
+    for df in (merge.two_way_merge(a, a.limit(100)), merge.kway_merge([a, a.limit(100)], "value", spread=True)):
+        rows = df.collect()
+        keys = [(r["value"], -r["src"]) if "src" in df.columns else r["value"] for r in rows]
+        assert keys == sorted(keys) and len(keys) == 6100
+        assert max(df.rdd.glom().map(len).collect()) < 2400
