@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,17 +21,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found or found.startswith("file:") else "file://" + found
 
 
+_MADE: list[Scratch] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Folders that are made inside go at its end: for a step whose result is saved elsewhere by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > before:
+            _MADE.pop().drop()
+
+
+def sweep() -> int:
+    """Delete all folders that this process has made and not dropped; their number. Frames that still read them fail."""
+    n = len(_MADE)
+    while _MADE:
+        _MADE.pop().drop()
+    return n
+
+
 class Scratch:
     """Tables and files of one run in a folder of its own below the shared folder.
 
     Tables are committed by Spark's own writer, so tasks that are run again after the loss of
     an executor leave no doubled rows. A result that is read lazily keeps its folder; it goes
-    with the shared folder, or by drop().
+    by drop(), at the end of a `temporary` block, by sweep(), or with the shared folder.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        _MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
