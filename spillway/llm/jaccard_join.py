@@ -157,7 +157,9 @@ def document_table(docs: DataFrame, scratch: Scratch, words: int = WORDS, percen
         able = known & (sizes > 0) & (100 * total >= percent * sizes)
         return pa.table([pa.array(ids, mask=~known), pa.array(keys), pa.array(sizes), pa.array(classes, pa.binary()), pa.array(able)], names=[x.split()[0] for x in _DOCS.split(", ")])
 
-    return scratch.save(summed.groupBy("batch").applyInArrow(judge, _DOCS), "documents")
+    judged = scratch.save(summed.groupBy("batch").applyInArrow(judge, _DOCS), "documents")
+    scratch.drop("summed")
+    return judged
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -290,7 +292,9 @@ def _groups(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int, per
     apart = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("h")
     left = scratch.save(rest.join(apart, "h", "left_semi"), "apart")
     more = scratch.save(_meet_lists(left, percent).distinct(), "nearer")
-    return wanted, segments, labels if more.isEmpty() else joined(labels, more, scratch, "group")
+    labels = labels if more.isEmpty() else joined(labels, more, scratch, "group")
+    scratch.drop("shared", "lists", "hubs", "near", "rest", "apart", "nearer")
+    return wanted, segments, labels
 
 
 def group_links(rid: np.ndarray, owner: np.ndarray, token: np.ndarray, n: np.ndarray, many: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, listed: bool) -> tuple[np.ndarray, np.ndarray, list]:
@@ -389,7 +393,9 @@ def _linked(docs: DataFrame, table: DataFrame, scratch: Scratch, words: int, per
     if not parts.isEmpty():
         labels = joined(None, parts.filter("u <> root").select(F.col("u").alias("a"), F.col("root").alias("b")), scratch, "parts")
         whole = whole.unionByName(parts.groupBy("u").agg(F.sum("others").alias("others")).join(labels, "u"))
-    return scratch.save(whole.join(wanted.select(F.col("rid").alias("u"), "class"), "u").select("class", "label", "others"), "linked")
+    linked = scratch.save(whole.join(wanted.select(F.col("rid").alias("u"), "class"), "u").select("class", "label", "others"), "linked")
+    scratch.drop("segments", "met")
+    return linked
 
 
 def _copies(table: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -113,6 +113,7 @@ def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch, sets):
         docs = _borderline(size)
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
         scratch = Scratch(spark, "t")
+        scratch.drop = lambda *names: None
         table = jaccard_join.document_table(df, scratch)
         jaccard_join._linked(df, table, scratch, 5, 80)
         rows = lambda name: spark.read.parquet(scratch.path(name)).count()
@@ -454,6 +455,60 @@ def test_pipeline(spark, tmp_path):
     assert got == sorted(tuple(r) for r in c.run(spark, d).select("doc_id", "piece", "start", "length", "ids_crc32").collect())
 
 
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """Each stage on all that its predecessor kept, against plain Python."""
+    import corpus_pipeline as c
+    from spillway.llm import quality, toxicity
+    from tests.llm.test_text import _metrics
+
+    d = f"{DATA}/sf0.001"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    step = {}
+    for name, stage in c.STAGES:
+        before, rows = docs, {r["doc_id"]: r for r in docs.collect()}
+        docs = Scratch(spark, "t").save(stage(spark, docs, d), name)
+        step[name] = rows, {r["doc_id"]: r for r in docs.collect()} if name != "best_fit_packing" else docs.collect()
+        if name == "toxicity":
+            machine = toxicity.fit(before, labels)
+            assert set(step[name][1]) == {i for i, s in zip(rows, machine.scores([r["text"] or "" for r in rows.values()]), strict=True) if s < 0.3}
+    rows, kept = step["quality_rules"]
+    fails, hosts = {}, defaultdict(list)
+    for i, r in rows.items():
+        n, chars, symbols, dups, repeats = _metrics(r["text"])
+        worded = [x for x in (r["text"] or "").split("\n") if _words(x)]
+        fails[i] = [10 * symbols > n, 10 * dups > 3 * len(worded), chars < 3 * n or chars > 12 * n, n < 50 or 100 * repeats > 50 * n]
+        hosts[r["source"] or ""].append(i)
+    total, bad = len(rows), defaultdict(dict)
+    for k, rule in enumerate([lambda f: f[0], lambda f: f[1], lambda f: f[2], any]):
+        count = {h: sum(rule(fails[i]) for i in ids) for h, ids in hosts.items()}
+        p = sum(count.values()) / total
+        spread = sum(len(ids) * (count[h] / len(ids) - p) ** 2 for h, ids in hosts.items())
+        m = quality.strength(p, spread, total, sum(len(x) ** 2 for x in hosts.values()), len(hosts))
+        for h, ids in hosts.items():
+            bad[h][k] = (count[h] + p * m) / (len(ids) + m) > (0.25 if k == 3 else 0.02)
+    host = {i: h for h, ids in hosts.items() for i in ids}
+    assert set(kept) == {i for i in rows if not fails[i][3] and not any(fails[i][k] and (bad[host[i]][k] or bad[host[i]][3]) for k in range(3))}
+    rows, kept = step["line_dedup"]
+    pages, holds = defaultdict(int), defaultdict(set)
+    strip = " \t\n\x0b\x0c\r"
+    for i, r in rows.items():
+        pages[r["source"]] += 1
+        for x in (r["text"] or "").split("\n"):
+            if x.strip(strip):
+                holds[r["source"], x.strip(strip)].add(i)
+    for i, r in rows.items():
+        gone = lambda x, h=r["source"]: len(holds[h, x.strip(strip)]) >= 3 and len(holds[h, x.strip(strip)]) > 0.1 * pages[h]
+        assert kept[i]["text"] == "\n".join(x for x in r["text"].split("\n") if not gone(x)) and kept[i]["n_chars"] == len(kept[i]["text"])
+    rows, kept = step["jaccard_join"]
+    parts = _components([(i, r["text"]) for i, r in rows.items()])
+    assert set(kept) == {int(first) for _, _, first in parts}
+    rows, packed = step["best_fit_packing"]
+    from tests.llm.test_tokens import _check_pieces
+
+    assert _check_pieces(packed, [(i, r["text"]) for i, r in rows.items()], 2048, 0) <= -(-sum(r["length"] for r in packed) // 2048) + 1
+
+
 def test_pipeline_odd_rows(spark, odd, none, tmp_path):
     import corpus_pipeline as c
 
