@@ -14,8 +14,15 @@ __all__ = ["BROADCAST_BYTES", "Scratch", "claim", "doc_bucket", "open_fs", "shar
 #: Sides up to this many bytes are broadcast; larger ones go through a shuffle.
 BROADCAST_BYTES = 16 << 20
 
-#: A key counts as hot when it holds at least this part of the rows, so there are at most 1 / HOT_PART hot keys.
+#: Rows of one key that one task takes. A key with more is hot: its rows are dealt over as many tasks as that makes.
+TASK_ROWS = 250_000
+
+#: Hot keys hold at least this part of the rows, or TASK_ROWS, whichever is less; but never under LEAST_ROWS.
 HOT_PART = 0.005
+LEAST_ROWS = 1_000
+
+#: There are at most so many hot keys, whatever the rows: beyond that, a hot key holds more.
+MOST_HOT = 100_000
 
 
 _OWNER: list = [None, None]
@@ -63,14 +70,18 @@ def skew_lookup(big: DataFrame, small: DataFrame, key: str, columns: list[str],
 
     small has one row a key; its column `rows` tells how many rows of big hold that key, of
     `total`. If small has at most BROADCAST_BYTES (size: its bytes, where known) it is broadcast.
-    Else the hot keys, 1 / HOT_PART at most, are broadcast, and the rest is shuffled, where
-    row_key spreads the rows that need no partner.
+    Else big is shuffled by the key and a salt. Hot keys, of which there are at most MOST_HOT, are
+    broadcast with their number of salts alone, a hundred bytes or so each: as row_key falls, their rows go to one of the salts, and small
+    has their row once for each. row_key also spreads the rows that need no partner.
     """
     if size is not None and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small.select(key, *columns)), key, "left")
-    least = max(1000, int(total * HOT_PART))
-    hot = small.filter(F.col(rows) >= least).select(F.col(key), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in columns])
-    cold = small.filter(F.col(rows) < least).select(F.col(key), F.lit(0).cast("long").alias("_s"), *columns)
-    spread = F.when(F.col("_hot") | F.col(key).isNull(), F.xxhash64(row_key).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
-    out = big.join(F.broadcast(hot), key, "left").withColumn("_s", spread).join(cold, [key, "_s"], "left")
-    return out.select(*[F.col(c) for c in big.columns], *[F.coalesce(f"_h_{c}", c).alias(c) for c in columns])
+    least = max(LEAST_ROWS, min(TASK_ROWS, int(total * HOT_PART)), total // MOST_HOT)
+    # a key of a part of the rows gets as many salts as tasks share that part, one of many rows as its rows need
+    salts = F.greatest(F.ceil(F.col(rows) / least), F.lit(1)).cast("int")
+    hot = small.filter(F.col(rows) >= least).select(F.col(key), salts.alias("_salts"))
+    dealt = small.withColumn("_s", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) >= least, salts - 1).otherwise(0)))).select(key, F.col("_s").cast("long").alias("_s"), *columns)
+    alone = -1 - F.pmod(F.xxhash64(row_key), F.lit(1 << 30))
+    spread = F.when(F.col(key).isNull(), alone).when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(row_key), F.col("_salts"))).otherwise(F.lit(0))
+    out = big.join(F.broadcast(hot), key, "left").withColumn("_s", spread.cast("long")).join(dealt, [key, "_s"], "left")
+    return out.select(*[F.col(c) for c in big.columns], *columns)

@@ -57,6 +57,7 @@ def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES
     out = joined.withColumn("_text", less)
     columns = [F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
     if counts:
+        columns = [c for c, name in zip(columns, docs.columns, strict=True) if name.lower() not in ("n_lines", "n_dropped")]
         was, now = F.size(_worded(text)).cast("long"), F.size(_worded(F.col("_text"))).cast("long")
         columns += [was.alias("n_lines"), (was - now).alias("n_dropped")]
     return out.select(*columns)
