@@ -21,6 +21,7 @@ from spillway.llm.lines import line_dedup
 from spillway.llm.packing import best_fit_packing
 from spillway.llm.quality import quality_filter
 from spillway.llm.toxicity import toxicity_filter
+from spillway.scratch import temporary
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with temporary():  # what a stage has written on its way goes once its result is saved, as does the table that it has read
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
