@@ -10,12 +10,12 @@ gives its worst sentence, chosen again after each fit. A document's score is the
 worst sentence's margin and its length, fitted on the same documents.
 
 The machine is fitted on the driver on at most SAMPLE labelled documents, those with the least hash
-of their id; every text is scored whole. Values of the kernel under LEAST count as 0.
-Latin script only: all letters that do not decompose to a to z share five codes, so words of other
-scripts can't be told apart.
+of their id, and of these on texts of at most LEARN_BYTES; every text is scored whole. Values of the kernel under LEAST count as 0.
+Letters that do not decompose to a to z have OTHERS codes, by their code point: those of one alphabet, as Greek or Cyrillic,
+mostly have a code each, those of large scripts share them.
 
 Defined results: null and empty texts get the score of a text without a suspect word; without
-labels of both kinds every score is 0; several labels of a document count as their largest, null
+labels of both kinds every score is 0; documents of tied hashes are sampled, and words of tied rank taken, in ascending order; several labels of a document count as their largest, null
 ones not at all; repeated rows get equal scores; an empty table gives no rows; other columns are
 ignored.
 """
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import claim, doc_bucket
 
 SAMPLE = 3_000
+LEARN_BYTES = 1 << 16
 LANDMARKS = 96
 LAM = 0.6
 SPAN = 5
@@ -43,6 +44,11 @@ LEAST = 0.45
 POWER = 3
 MEMO = 300_000
 
+#: Codes of other letters than a to z; a feature has three codes of BITS bits.
+OTHERS = 37
+BITS = 6
+FEATURES = 1 << 3 * BITS
+
 #: Words longer than this are seen through windows of it, moved by half.
 WINDOW = 24
 
@@ -82,7 +88,7 @@ def words_of(sentence: str) -> list[str]:
 
 
 def _code(word: str) -> list[int]:
-    return [0, *[ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 5 for c in word], 0]
+    return [0, *[ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % OTHERS for c in word], 0]
 
 
 def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +102,7 @@ def _occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for a, b in _OFFSETS:
         ok = np.flatnonzero(left > b)
         at.append(of[ok])
-        keys.append(flat[ok] << 10 | flat[ok + a] << 5 | flat[ok + b])
+        keys.append(flat[ok] << 2 * BITS | flat[ok + a] << BITS | flat[ok + b])
         weights.append(np.full(len(ok), LAM ** (b - 2), np.float32))
     return np.concatenate(at), np.concatenate(keys), np.concatenate(weights)
 
@@ -120,7 +126,7 @@ class Machine:
         for f in feats:
             for k in f:
                 used.setdefault(k, len(used))
-        self.row = np.full(1 << 15, -1, np.int32)
+        self.row = np.full(FEATURES, -1, np.int32)
         self.table = np.zeros((max(1, len(used)), len(landmarks)), np.float32)
         for j, f in enumerate(feats):
             for k, v in f.items():
@@ -211,12 +217,12 @@ def _choose(texts: list[str], labels: list[int], count: int) -> list[str]:
     every, words = sorted(df), sorted(bad)
     rate = (sum(bad.values()) + 1) / (sum(df.values()) + 2)
     sure = lambda k, n: (k - rate * n) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))  # noqa: E731  the excess in standard deviations
-    n_all, n_bad = np.zeros(1 << 15), np.zeros(1 << 15)
+    n_all, n_bad = np.zeros(FEATURES), np.zeros(FEATURES)
     for i in range(0, len(every), 10_000):
         some = every[i : i + 10_000]
         of, keys, _ = _occurrences(some)
-        n_all += np.bincount(keys, np.array([df[w] for w in some], float)[of], 1 << 15)
-        n_bad += np.bincount(keys, np.array([bad.get(w, 0) for w in some], float)[of], 1 << 15)
+        n_all += np.bincount(keys, np.array([df[w] for w in some], float)[of], FEATURES)
+        n_bad += np.bincount(keys, np.array([bad.get(w, 0) for w in some], float)[of], FEATURES)
     excess = np.where(n_all >= 20, sure(n_bad, n_all), 0) * np.where(n_bad > 2 * rate * n_all, 1, 0)
     by_parts = np.zeros(len(words))
     for i in range(0, len(words), 10_000):
@@ -226,7 +232,7 @@ def _choose(texts: list[str], labels: list[int], count: int) -> list[str]:
     by_itself *= np.array([bad[w] >= 5 and bad[w] > 3 * rate * df[w] for w in words])
     rank = np.maximum(by_itself, 2 * by_parts)
     chosen, feats = [], []
-    for i in np.lexsort((np.arange(len(words)), -rank))[:4000]:
+    for i in np.lexsort((np.arange(len(words)), -rank)):
         if rank[i] < 4 or len(chosen) >= count:
             break
         f = _features(words[i])
@@ -297,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (doc_bucket() != 2))
     known = known.select(F.col("doc_id").cast("long"), "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LEARN_BYTES).join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(texts.collect())
     return train([r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows])
 
