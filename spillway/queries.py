@@ -243,7 +243,7 @@ def skip_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys read as a stream, a sorted run for each micro-batch, and the runs merged."""
-    scratch, path = Scratch(spark, "stream"), f"{sf_dir}/lineitem.parquet"
+    scratch, path = Scratch(spark, "stream"), f"{sf_dir}/lineitem.parque[t]"  # a pattern, as a stream takes no single file
     stream = spark.readStream.schema(_table(spark, sf_dir, "lineitem").schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = write_runs(stream.select(((F.col("l_orderkey") * 2654435761) % 4294967296).alias("value")), scratch.path("runs"), scratch.path("state"))
     query.awaitTermination()
