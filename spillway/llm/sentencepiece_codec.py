@@ -13,8 +13,9 @@ Ids equal the library's, which serves here only to read the model's pieces. Deco
 pieces; a text comes back as it was but for U+2581, which the model takes for a blank.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null doc_id stays null;
-repeated rows are encoded as often as they occur; an empty table gives no rows; other columns are
-ignored.
+repeated rows are encoded as often as they occur; very long texts are read whole, one without blanks as one part; of merges of equal
+rank the leftmost goes first, as in the library; an empty table gives no rows; other columns are ignored. A model with
+pieces that cross a blank or a line feed is refused, as texts are cut there.
 """
 
 from __future__ import annotations
@@ -36,6 +37,13 @@ MEMO = 300_000
 ROWS = "doc_id long, n_ids long, ids array<int>, decoded string"
 
 
+def refuse_crossing(pieces) -> None:
+    """Texts are cut before blanks, but for runs of them, and around line feeds; so no piece may lie across one."""
+    for t in pieces:
+        if BLANK in t[1:] or "\n" in t and t != "\n":
+            raise ValueError(f"the piece {t!r} crosses a blank or a line feed")
+
+
 class Pieces:
     """The model's pieces, ranks of merges, and each piece's last merge. Made once, on the driver."""
 
@@ -49,6 +57,7 @@ class Pieces:
         self.bytes_of = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.raw = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else t.replace(BLANK, " ").encode() for i, t in enumerate(self.texts)]
         self.ids = {t: i for i, t in enumerate(self.texts) if not special[i] and (t == BLANK or set(t) != {BLANK})}
+        refuse_crossing(self.ids)
         self.runs = {len(t): i for i, t in enumerate(self.texts) if not special[i] and set(t) == {BLANK}}
         merged = sorted((i for t, i in self.ids.items() if len(t) > 1), key=lambda i: (-sp.get_score(i), i))
         self.rank = np.full(n + 1, -1, np.int64)

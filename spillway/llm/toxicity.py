@@ -14,7 +14,7 @@ of their id, and of these on texts of at most LEARN_BYTES; every text is scored
 Letters that do not decompose to a to z have OTHERS codes, by their code point: those of one alphabet, as Greek or Cyrillic,
 mostly have a code each, those of large scripts share them.
 
-Defined results: null and empty texts get the score of a text without a suspect word; without
+Defined results: null and empty texts get the score of a text without a suspect word; very long texts are scored whole; without
 labels of both kinds every score is 0; documents of tied hashes are sampled, and words of tied rank taken, in ascending order; several labels of a document count as their largest, null
 ones not at all; repeated rows get equal scores; an empty table gives no rows; other columns are
 ignored.

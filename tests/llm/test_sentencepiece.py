@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spillway.llm.queries import op4_sentencepiece
-from spillway.llm.sentencepiece_codec import BLANK, Codec, Pieces, sentencepiece_round_trip
+from spillway.llm.sentencepiece_codec import BLANK, Codec, Pieces, refuse_crossing, sentencepiece_round_trip
 from tests.oracle import DATA
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,3 +72,16 @@ def test_query(spark, odd, none):
 @pytest.mark.parametrize("text", ["ab" * 300, "lorem ipsum " * 200])
 def test_long_parts(text):
     assert ids([text]) == LIBRARY.encode([text])
+
+
+def test_very_long_texts():
+    texts = [f"Word {i} né " * 9 for i in range(3000)]
+    long = "".join(texts) + "x" * 5000 + "\n" + "the " * 50_000
+    assert ids([long]) == LIBRARY.encode([long]) and CODEC.decode(CODEC.encode([long])[0]) == long
+
+
+def test_models_with_crossing_pieces_are_refused():
+    refuse_crossing([BLANK, BLANK + "a", "b", "\n"])
+    for bad in ("a" + BLANK, BLANK + "a" + BLANK, "a\n"):
+        with pytest.raises(ValueError):
+            refuse_crossing([bad])
