@@ -5,7 +5,8 @@ documents; the last returns a row for each packed piece.
 
 Defined results: null and empty texts are not toxic, have too few words for the quality rules and so
 go there; the later stages, given them, keep them, and pack an end id each. Documents without an
-id pass the join as they are. Of repeated rows the join keeps one. Empty tables pass all stages and give no
+id pass the join as they are. Of repeated rows the join keeps one, of a group the least doc_id, and of rows
+that tie in it the least hash of their texts. Very long texts are read whole by each stage and packed in full pieces. Empty tables pass all stages and give no
 rows. Other columns, whatever their names, stay as they are but for n_chars, which follows the text.
 """
 
