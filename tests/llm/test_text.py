@@ -90,6 +90,22 @@ def test_skew_lookup_with_hot_keys(spark, monkeypatch):
     assert all(r["v"] == (None if r["k"] in (None, "k7") else f"v-{r['k']}") for r in out)
 
 
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch, request):
+    for name, value in (("BROADCAST_BYTES", -1), ("TASK_ROWS", 400), ("LEAST_ROWS", 100)):
+        monkeypatch.setattr(common, name, value)
+    for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "false" if "adaptive" in name else "-1")
+        request.addfinalizer(lambda name=name: spark.conf.unset(name))
+    big = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"))
+    small = big.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.concat(F.lit("v-"), "k"))
+    out = common.skew_lookup(big, small, "k", ["v"], "n", 9000, F.col("id"))
+    assert out.count() == 9000 and out.filter("v <> concat('v-', k)").isEmpty()
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    parts = common.skew_lookup(big, small, "k", ["v"], "n", 9000, F.col("id")).filter("k = 'hot'").rdd.glom().map(len).collect()
+    assert sum(parts) == 3000 and max(parts) < 1000
+
+
 def test_line_dedup(spark, odd, none):
     rows = [(i, f"unique line {i}\nmenu | home\n\n  menu | home \nend {i}", "h1") for i in range(10)] + [(50, "menu | home\nother", "h2"), (51, "menu | home", None), (52, None, "h1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -99,6 +115,9 @@ def test_line_dedup(spark, odd, none):
     out = lines.line_dedup(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert lines.line_dedup(none).count() == 0
+    clash = lines.line_dedup(docs.withColumn("n_lines", F.lit(-1)).withColumn("over", F.lit(2)).withColumn("host_pages", F.lit(3)), counts=True)
+    assert sorted(clash.columns) == sorted([*docs.columns, "over", "host_pages", "n_lines", "n_dropped"])
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in clash.collect()} == got
 
 
 def test_kernel_tolerates_gaps():
@@ -109,6 +128,13 @@ def test_kernel_tolerates_gaps():
     assert toxicity.fold("1d1.0t,") == "idiot" and toxicity.words_of("you i d i o t now") == ["you", "idiot", "now"]
 
 
+def test_kernel_tells_words_of_other_scripts():
+    for bad, near, clean in (("идиот", "иддиот", "собака"), ("ηλίθιος", "ηλίιθιος", "σκύλος")):
+        m = toxicity.Machine([toxicity.fold(bad)])
+        got = m.kernel([toxicity.fold(w) for w in (bad, near, clean)])
+        assert got[toxicity.fold(bad)][0] == pytest.approx(1, abs=1e-4) and got[toxicity.fold(near)][0] > 0.1 and toxicity.fold(clean) not in got
+
+
 def _kernel(a, b):
     def feats(w):
         c, out = toxicity._code(w), Counter()
@@ -153,8 +179,55 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.toxicity_filter(odd, labels).columns == odd.columns
 
 
-def test_toxicity_query_runs(spark):
-    assert op3_toxicity(spark, f"{DATA}/sf0.001").count() == 200
+def _brute_scores(machine, texts):
+    """The query's scores, from kernels of all pairs of words and landmarks."""
+    feats = {}
+
+    def vector(w):
+        if w not in feats:
+            c, out = toxicity._code(w), Counter()
+            for i in range(len(c)):
+                for j in range(i + 1, len(c)):
+                    for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                        out[c[i], c[j], c[k]] += toxicity.LAM ** (k - i - 2)
+            norm = math.sqrt(sum(v * v for v in out.values())) or 1.0
+            feats[w] = {k: v / norm for k, v in out.items()}
+        return feats[w]
+
+    def values(word):
+        f = toxicity.fold(word)
+        half = toxicity.WINDOW // 2
+        parts = [f] if len(f) <= toxicity.WINDOW else [f[i : i + toxicity.WINDOW] for i in range(0, len(f) - half, half)]
+        rows = [[sum(v * vector(z).get(k, 0.0) for k, v in vector(p).items()) for z in machine.landmarks] for p in parts if len(p) > 1]
+        rows = [[x**toxicity.POWER if x >= toxicity.LEAST else 0.0 for x in r] for r in rows]
+        return np.max(rows, axis=0) if rows else np.zeros(len(machine.landmarks))
+
+    a, b, c = machine.slope
+    out = []
+    for text in texts:
+        sentences = [toxicity.words_of(s) for s in re.split(r"(?<=[.!?])\s+|\n+", text or "")]
+        margin = max([0.0, *[float(np.max([values(w) for w in s], axis=0) @ machine.beta) for s in sentences if s]]) + machine.bias
+        x = a * margin + b * math.log1p(sum(map(len, sentences))) + c
+        out.append(1 / (1 + math.exp(-max(-50.0, min(50.0, x)))))
+    return out
+
+
+def test_toxicity_query_equals_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "LANDMARKS", 8)
+    clean = ["We saw a quiet river. It was long!", "tables and chairs\n\nare here", "", None, "the w0rd is fine, ok?", "Zürich ist schön", "x " * 300, "ab" * 40]
+    rude = ["you are an idiot today.", "What an id.iot! Go.", "i d i o t s everywhere", "total iddiot and moron", "MORON of the year", "such a m0r0n here"]
+    rows = [(i, (rude if i % 3 == 0 else clean)[i // 3 % (6 if i % 3 == 0 else 8)], i % 3 == 0) for i in range(150)]
+    rows += [(i, (t or "") + f" extra {i}", bad) for i, t, bad in rows[:60] for i in [i + 1000]]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, int(r[2])) for r in rows[:150]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in op3_toxicity(spark, str(tmp_path)).collect()}
+    machine = toxicity.fit(docs, labels)
+    assert machine.landmarks and len(got) == len(rows)
+    for (i, _, bad), want in zip(rows, _brute_scores(machine, [t for _, t, _ in rows]), strict=True):
+        assert got[i]["score"] == pytest.approx(want, abs=2e-3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    assert np.mean([got[i]["predicted"] == bad for i, _, bad in rows]) > 0.8
 
 
 def _base(docs):
@@ -167,7 +240,7 @@ def _base(docs):
 
 @pytest.mark.parametrize("fragment_bytes", [1 << 30, 2000])
 def test_lm_base(spark, odd, none, fragment_bytes):
-    docs = odd.select("doc_id", "text").filter("doc_id is null or doc_id not in (5, 6)")
+    docs = odd
     got = lm_score.lm_scores(docs, WORD, steps=5, fragment_bytes=fragment_bytes).collect()
     key = lambda r: (str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6))
     assert sorted(map(key, got)) == sorted(_base([(r["doc_id"], r["text"]) for r in docs.collect()]))
@@ -175,6 +248,55 @@ def test_lm_base(spark, odd, none, fragment_bytes):
     assert lm_score.lm_scores(none, WORD, steps=2).count() == 0
 
 
+def test_lm_query_learns(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op7_lm_score"](spark, f"{DATA}/sf0.01").toPandas()
+    key = lambda r: (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+    rows, want = sorted(got.itertuples(), key=key), sorted(_base(docs))
+    assert list(map(key, rows)) == [x[:-1] for x in want]
+    assert [r.base_score for r in rows] == pytest.approx([x[-1] for x in want], abs=1e-4)
+    out = got[got.held_out]
+    assert len(out) > 100 and out.score.sum() > out.base_score.sum()
+
+
+def test_every_training_document_counts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score, "CHARS", 20_000)
+    one = lm_score._pass
+    monkeypatch.setattr(lm_score, "_pass", lambda *x: seen.append(one(*x)) or seen[-1])
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    lm_score.lm_scores(docs, WORD, steps=3).count()
+    few = sum(n for _, n in seen)
+    seen.clear()
+    lm_score.lm_scores(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10_000)), WORD, steps=3).count()
+    assert len(seen) == 2 and sum(n for _, n in seen) > 1.6 * few > 0
+
+
+@pytest.mark.parametrize("apart", [1, 3])
+def test_a_pass_sees_every_document(apart):
+    from spillway.llm import attention as a
+
+    r = np.random.default_rng(0)
+    v = a.Vocabulary(r.integers(1, 50, 41), r.random(41) < 0.5, singles=10, shared=4, inputs=16)
+    lengths = np.array([1, 7, 30, 12, 200])
+    ids = r.integers(0, 41, lengths.sum())
+    prior = a.Prior(np.bincount(a.pairs_of(ids, lengths, v), minlength=15 * 14).reshape(15, 14), group=4)
+    m, met = a.Model(v.rows, v.classes, dim=6, hidden=8, stride=5, context=3, group=4), []
+    cut = a.Places.cut
+    try:
+        a.Places.cut = lambda self, some, begin, many: met.extend(some.tolist()) or cut(self, some, begin, many)
+        before = m.flat()
+        loss, n = a.learn(m, a.Adam(m), ids, lengths, v, prior, 0.01, r, many=2, together=4, apart=apart)
+    finally:
+        a.Places.cut = cut
+    w = a.Windows(lengths, 5, 3)
+    assert len(met) == len(set(met)) and set(w.doc[met]) == set(range(5)) and w.left.sum() == len(ids) and 0 < n <= 2 * len(met)
+    assert apart > 1 or len(met) == len(w)
+    assert np.bincount(w.doc[met], minlength=5).max() <= -(-np.bincount(w.doc).max() // apart)
+    assert np.isfinite(loss) and not np.allclose(before, m.flat())
+    assert np.allclose(np.exp(prior.group).sum(axis=1), 1, atol=1e-5) and np.allclose(np.exp(prior.inner).sum(axis=2), 1, atol=1e-5)
+
+
 def test_attention_scores_each_token_once():
     from spillway.llm import attention as a
 
@@ -184,8 +306,9 @@ def test_attention_scores_each_token_once():
     assert np.allclose(np.bincount(v.of, np.exp(v.inner)), 1, atol=1e-4)
     lengths = np.array([1, 7, 30, 12])
     ids = r.integers(0, 41, lengths.sum())
-    m = a.train(ids, lengths, v, steps=30, batch=4, dim=6, hidden=8, stride=5, context=3, group=4)
-    got = a.log_probabilities(m, ids, lengths, v, batch=2)
+    prior = a.Prior(np.bincount(a.pairs_of(ids, lengths, v), minlength=15 * 14).reshape(15, 14), group=4)
+    m = a.train(ids, lengths, v, prior, steps=30, batch=4, dim=6, hidden=8, stride=5, context=3, group=4)
+    got = a.log_probabilities(m, ids, lengths, v, prior, batch=2)
     at = 0
     for n, g in zip(lengths, got, strict=True):
         seq, total = ids[at : at + n], 0.0
@@ -197,29 +320,33 @@ def test_attention_scores_each_token_once():
             hi = min(n, 5 * w + 5)
             u[lo - (5 * w - 3) : hi - (5 * w - 3)] = rows[lo:hi]
             f = m.hidden(u[None], np.array([int(w == 0)]))[0][0, t - 5 * w]
-            c = v.of[seq[t]]
-            for x, i in ((f @ m.p["g"] + m.p["bg"], c // m.group), (f @ m.p["c"][c // m.group] + m.p["bc"][c // m.group], c % m.group)):
+            c, was = v.of[seq[t]], v.of[seq[t - 1]] if t else v.classes
+            for x, i in ((f @ m.p["g"] + m.p["bg"] + prior.group[was], c // m.group), (f @ m.p["c"][c // m.group] + m.p["bc"][c // m.group] + prior.inner[was, c // m.group], c % m.group)):
                 total += x[i] - x.max() - np.log(np.exp(x - x.max()).sum())
             total += v.inner[seq[t]]
         assert g == pytest.approx(total, abs=1e-3)
         at += n
 
 
-def test_gradient():
+@pytest.mark.parametrize(("begin", "many"), [(0, 3), (1, 2), (2, 1)])
+def test_gradient(begin, many):
     from spillway.llm import attention as a
 
     r = np.random.default_rng(1)
     m = a.Model(9, 5, dim=4, hidden=6, stride=3, context=2, group=2)
+    prior = a.Prior(r.integers(0, 9, (6, 5)), group=2)
     u, first = r.integers(0, 9, (2, 5)), np.array([1, 0])
-    y, live = r.integers(0, 5, (2, 3)), np.array([[True, True, False], [True, True, True]])
+    y, was = r.integers(0, 5, (2, 2, 3))
+    live = np.array([[True, True, False], [True, True, True]])
+    cut = (prior, u, first, was[:, begin : begin + many], y[:, begin : begin + many], live[:, begin : begin + many], begin)
     m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
-    _, g = m.step(u, first, y, live)
+    _, g = m.step(*cut)
     for k, x in m.p.items():
         i = tuple(r.integers(0, s) for s in x.shape)
         old, e = x[i], 1e-4
         x[i] = old + e
-        up = m.step(u, first, y, live)[0]
+        up = m.step(*cut)[0]
         x[i] = old - e
-        down = m.step(u, first, y, live)[0]
+        down = m.step(*cut)[0]
         x[i] = old
         assert g[k][i] == pytest.approx((up - down) / (2 * e), abs=2e-3), k
