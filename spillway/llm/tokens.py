@@ -38,19 +38,27 @@ def _spelled(word: str) -> str:
 
 
 class _Memo(dict):
-    def __init__(self, learn):
+    """Ids of parts. What is not there is looked for in the memo before this one, then learnt."""
+
+    def __init__(self, learn, old: dict | None = None):
         super().__init__()
-        self.learn = learn
+        self.learn, self.old = learn, old or {}
 
     def __missing__(self, part):
-        self[part] = ids = self.learn(part)
+        ids = self.old.get(part)
+        self[part] = ids = self.learn(part) if ids is None else ids
         return ids
 
+    def turn(self) -> _Memo:
+        """A new memo before which lies this one, without the one before it: parts that recur stay, others go."""
+        self.old = {}
+        return _Memo(self.learn, self)
+
 
 class Encoder:
     """ids as little-endian bytes, `width` bytes an id. blank: the vocabulary keeps case and blanks, each before its word."""
 
-    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 400_000):
+    def __init__(self, path: str, blank: bool, width: int, memo_size: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,6 +76,9 @@ class Encoder:
         self.first = _Memo(self._plain if self.blank else self._word)
         self.spaced = _Memo(self._after_blank)
 
+    def _turn(self) -> None:
+        self.first, self.spaced = self.first.turn(), self.spaced.turn()
+
     def _bytes(self, ids) -> bytes:
         return array.array(self.kind, ids).tobytes()
 
@@ -85,6 +96,8 @@ class Encoder:
         return self._plain(" " + part)
 
     def _word(self, part: bytes) -> bytes:
+        if part.isalpha():  # a to z alone, which nothing changes
+            return self._bytes([t.id for t in self.model.tokenize(part.decode())])
         word = part.decode()
         if word.isalpha() and max(word) <= _LATIN:
             low = word if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
@@ -96,7 +109,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.spaced) > self.memo_size:
-            self._forget()
+            self._turn()
         if not self.blank:
             first = self.first.__getitem__
             return [b"".join(map(first, t.encode().lower().split())) for t in texts]
@@ -105,7 +118,7 @@ class Encoder:
     def words(self, parts: list[bytes]) -> list[bytes]:
         """ids of each part of a text that was cut at ASCII's white space, A to Z lowered; for a vocabulary without blanks."""
         if len(self.first) > self.memo_size:
-            self._forget()
+            self._turn()
         return list(map(self.first.__getitem__, parts))
 
     def _lines(self, text: str) -> bytes:
@@ -135,8 +148,7 @@ def encoder(path: str, blank: bool, width: int) -> Encoder:
 
     def drop() -> None:
         _ENCODERS.pop(key, None)
-        found.first.clear()
-        found.spaced.clear()
+        found._forget()
 
     claim(found, drop)
     return found
