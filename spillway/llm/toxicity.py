@@ -44,6 +44,9 @@ LEAST = 0.45
 POWER = 3
 MEMO = 300_000
 
+#: Words whose values are worked out at a time: a row of landmarks for each feature that they hit is held.
+CHUNK = 2_000
+
 #: Codes of other letters than a to z; a feature has three codes of BITS bits.
 OTHERS = 37
 BITS = 6
@@ -142,8 +145,8 @@ class Machine:
     def kernel(self, words: list[str]) -> dict[str, np.ndarray]:
         """Values at the landmarks of the folded words that have one of LEAST or more."""
         out: dict[str, np.ndarray] = {}
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
+        for i in range(0, len(words), CHUNK):
+            some = words[i : i + CHUNK]
             of, keys, weights = _occurrences(some)
             squares = np.bincount(of, weights * weights, len(some))
             row = self.row[keys]
