@@ -217,13 +217,24 @@ def _matrix(column) -> np.ndarray:
 
 
 def _cells(rows: DataFrame, n: int, norm: float, m: int, sample: int, block: int) -> tuple[DataFrame, int]:
-    """rows with their cell, from a tree over the projections of at most `sample` of them; and a block's rows."""
+    """rows with their cell, from a tree over the projections of at most `sample` of them, which alone pass the driver; and a block's rows."""
     block = max(block, math.ceil(n / BLOCKS))
-    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect() if n > block else []
+
+    def lay(it):
+        for batch in it:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                points = projected(_matrix(batch.column("v").take(pa.array(np.flatnonzero(dims == dim)))), norm, m)
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "m": pa.array([points.shape[1]], pa.int32()), "points": [points.tobytes()]})
+
+    found: dict[int, list[np.ndarray]] = {}
+    if n > block:
+        for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).mapInArrow(lay, "dim int, m int, points binary").collect():
+            found.setdefault(r["dim"], []).append(np.frombuffer(r["points"], "<f8").reshape(-1, r["m"]))
+    few = sum(len(x) for parts in found.values() for x in parts)
     trees: dict[int, tuple[int, KdTree]] = {}
-    for dim in sorted({r["dim"] for r in few}):
-        points = projected(np.array([r["v"] for r in few if r["dim"] == dim]), norm, m)
-        trees[dim] = (sum(len(t.leaves) for _, t in trees.values()), KdTree(points, max(1, len(few) * block // (2 * n))))
+    for dim in sorted(found):
+        trees[dim] = (sum(len(t.leaves) for _, t in trees.values()), KdTree(np.concatenate(found[dim]), max(1, few * block // (2 * n))))
     held = rows.sparkSession.sparkContext.broadcast(trees)
 
     def deal(it):
