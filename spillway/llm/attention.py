@@ -21,10 +21,7 @@ INPUTS = 1024
 STRIDE = 48
 CONTEXT = 16
 
-#: A pass over the corpus takes one of so many windows of each document, the first at random; its targets of each window, and its windows a step.
-#: All of a window's ids are inputs.
-APART = 8
-TARGETS = 4
+#: Windows a step of a pass over the corpus. A pass takes every window, and every target of each.
 TOGETHER = 256
 
 #: Steps in which a pass comes up to its rate, as its moments begin anew.
@@ -143,9 +140,7 @@ class Model:
         q = tail @ (p["q"] / np.float32(np.sqrt(d)))
         a = q @ k.transpose(0, 2, 1)
         a += (self.masks + p["far"][self.distance])[:, begin:end, : self.context + end][first]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        a = _softmax(a)
         mixed = a @ v
         h = tail + mixed @ p["o"]
         z = np.maximum(h @ p["w1"] + p["b1"], 0)
@@ -160,36 +155,43 @@ class Model:
         b, t = np.nonzero(live)
         own, of, place, was = f[b, t], target[b, t] // self.group, target[b, t] % self.group, before[b, t]
         every = np.arange(len(b))
-        grad = {"c": np.zeros_like(p["c"]), "bc": np.zeros_like(p["bc"])}
-        odds = _softmax(own @ p["g"] + p["bg"] + prior.group[was])
-        loss = -np.log(odds[every, of] + 1e-9).sum()
+        # targets of one group lie together
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        b, t, own, of, place, was = b[order], t[order], own[order], of[order], place[order], was[order]
+        every, groups = np.arange(len(b)), range(len(p["bg"]))
+        cuts = np.searchsorted(of, np.arange(len(p["bg"]) + 1)).tolist()
+        odds = own @ p["g"]
+        odds += (prior.group + p["bg"])[was]
+        odds = _softmax(odds)
+        inner = prior.inner[was, of] + p["bc"][of]
+        for i in groups:
+            inner[cuts[i] : cuts[i + 1]] += own[cuts[i] : cuts[i + 1]] @ p["c"][i]
+        inner = _softmax(inner)
+        loss = -np.log(odds[every, of] + 1e-9).sum() - np.log(inner[every, place] + 1e-9).sum()
         odds[every, of] -= 1
+        inner[every, place] -= 1
         odds /= np.float32(n)
-        grad |= {"g": own.T @ odds, "bg": odds.sum(axis=0)}
+        inner /= np.float32(n)
+        grad = {"c": np.zeros_like(p["c"]), "bc": np.zeros_like(p["bc"]), "g": own.T @ odds, "bg": odds.sum(axis=0)}
         back = odds @ p["g"].T
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(len(p["bg"]) + 1))
-        for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if x == y:
-                continue
-            at = order[x:y]
-            inner = _softmax(own[at] @ p["c"][i] + p["bc"][i] + prior.inner[was[at], i])
-            loss -= np.log(inner[np.arange(len(at)), place[at]] + 1e-9).sum()
-            inner[np.arange(len(at)), place[at]] -= 1
-            inner /= np.float32(n)
-            grad["c"][i], grad["bc"][i] = own[at].T @ inner, inner.sum(axis=0)
-            back[at] += inner @ p["c"][i].T
+        for i in groups:
+            x, y = cuts[i], cuts[i + 1]
+            if x < y:
+                grad["c"][i], grad["bc"][i] = own[x:y].T @ inner[x:y], inner[x:y].sum(axis=0)
+                back[x:y] += inner[x:y] @ p["c"][i].T
         df = np.zeros_like(f)
         df[b, t] = back
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        dz = (df @ p["w2"].T) * (z > 0)
-        grad |= {"w2": flat(z).T @ flat(df), "w1": flat(h).T @ flat(dz), "b1": flat(dz).sum(axis=0)}
-        dh = df + dz @ p["w1"].T
-        grad["o"] = flat(mixed).T @ flat(dh)
-        dm = dh @ p["o"].T
-        da = dm @ v.transpose(0, 2, 1)
+        dz = flat(df) @ p["w2"].T
+        dz *= flat(z) > 0
+        grad |= {"w2": flat(z).T @ flat(df), "w1": flat(h).T @ dz, "b1": dz.sum(axis=0)}
+        dh = flat(df) + dz @ p["w1"].T
+        grad["o"] = flat(mixed).T @ dh
+        dm = (dh @ p["o"].T).reshape(f.shape)
+        ds = dm @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dm
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        ds -= np.einsum("wij,wij->wi", ds, a)[:, :, None]
+        ds *= a
         seen = self.distance[begin : begin + many, : u.shape[1]]
         grad["far"] = np.bincount(seen.ravel(), ds.sum(axis=0).ravel(), len(p["far"])).astype(np.float32)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -198,7 +200,8 @@ class Model:
         by_row = _sum_rows(u.ravel(), np.concatenate([flat(dk), flat(dv)], axis=1), len(p["e"]))
         grad |= {"k": p["e"].T @ by_row[:, :d], "v": p["e"].T @ by_row[:, d:]}
         grad["e"] = by_row[:, :d] @ p["k"].T + by_row[:, d:] @ p["v"].T
-        grad["e"] += _sum_rows(u[:, self.context + begin :].ravel(), flat(dh + dq @ p["q"].T * s), len(p["e"]))
+        dh += flat(dq) @ (p["q"].T * s)
+        grad["e"] += _sum_rows(u[:, self.context + begin :].ravel(), dh, len(p["e"]))
         return float(loss / n), grad
 
 
@@ -206,17 +209,24 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The sums of the values of equal rows, for rows 0 .. n - 1."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(rows):
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")  # two bytes are sorted by radix
         starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
-        out[rows[order][starts]] = np.add.reduceat(values[order], starts, axis=0)
+        rows = rows[order]
+        out[rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
     return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    """Of the last axis. Exponentials are taken as they are; where one overflows, or all vanish, again with the greatest taken off."""
+    ones = np.ones(x.shape[-1], x.dtype)
+    with np.errstate(all="ignore"):
+        y = np.exp(x)
+        total = y @ ones
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        y = np.exp(x - x.max(axis=-1, keepdims=True))
+        total = y @ ones
+    y /= total[..., None]
+    return y
 
 
 def inputs_of(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -277,9 +287,9 @@ def train(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary, prior: P
     return model
 
 
-def learn(model: Model, adam: Adam, ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary, prior: Prior, rate: float, r: np.random.Generator, many: int = TARGETS, together: int = TOGETHER, apart: int = APART) -> tuple[float, int]:
-    """One pass over sequences: of each every `apart`-th window from a random one on, at least one, in a random order, and `many`
-    targets of each from a place that each step draws; the sum of the losses, and the targets."""
+def learn(model: Model, adam: Adam, ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary, prior: Prior, rate: float, r: np.random.Generator, many: int = STRIDE, together: int = TOGETHER, apart: int = 1) -> tuple[float, int]:
+    """One pass over sequences, in a random order of their windows: the sum of the losses, and the targets. It takes every window, and every target of each.
+    apart: of each sequence every `apart`-th window from a random one on, at least one; many: so many targets of each from a place that each step draws."""
     places = Places(model, ids, lengths, vocabulary)
     per = -(-lengths // model.stride)
     first = (r.random(len(per)) * np.minimum(apart, per)).astype(np.int64)

@@ -7,8 +7,8 @@ each batch, the documents' partial sums of log10(c + 1) and of known tokens.
 The model learns from all training documents. Counts of all their ids make the classes and the odds within them, and
 counts of all pairs of classes that follow each other make the odds that the layer starts from. The layer's weights begin with a
 few hundred steps on the driver over WARM batches; then PASSES passes over the id table share all training
-documents among them: every task steps through its batches, one of APART windows of every document as inputs and TARGETS targets of it,
-and the tasks' weights are averaged by their targets. So counts cover every training id, and steps grow with the corpus and see every training document. Then each batch is scored in overlapping windows,
+documents among them: every task steps through its batches, every window of every document and every target in it once,
+and the tasks' weights are averaged by their targets. So counts cover every training id, and steps grow with the corpus and see every training token. Then each batch is scored in overlapping windows,
 every token once.
 
 Defined results: null and empty texts have the end as their only token; without training

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spillway.llm import common, lines, lm_score, quality, toxicity
 from spillway.llm.common import Scratch
@@ -297,6 +298,18 @@ def test_a_pass_sees_every_document(apart):
     assert np.allclose(np.exp(prior.group).sum(axis=1), 1, atol=1e-5) and np.allclose(np.exp(prior.inner).sum(axis=2), 1, atol=1e-5)
 
 
+def test_the_passes_take_every_training_token(spark, odd, monkeypatch):
+    seen = []
+    one = lm_score._pass
+    monkeypatch.setattr(lm_score, "CHARS", 20_000)
+    monkeypatch.setattr(lm_score, "_pass", lambda *x: seen.append(one(*x)) or seen[-1])
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    lm_score.lm_scores(docs, WORD, steps=3).count()
+    enc = Tokenizer.from_file(WORD)
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    assert sum(n for _, n in seen) == sum(len(enc.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect() if not held(r["doc_id"]))
+
+
 def test_attention_scores_each_token_once():
     from spillway.llm import attention as a
 
