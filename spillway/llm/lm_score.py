@@ -48,6 +48,9 @@ CHARS = 2 << 20
 SENT = 8
 
 FRAGMENT_BYTES = 48 << 20
+
+#: Row groups of the dealt rows.
+GROUP_BYTES = 8 << 20
 MODULUS, HELD = 7, 2
 
 _DEALT = "fragment int, batch long, doc_ids binary, lengths binary, words binary, ids binary, id_counts binary, hashes binary, counts binary, spread binary, docs binary, times binary"
@@ -144,6 +147,7 @@ def deal(docs: DataFrame, tokenizer: str, fragments: int) -> DataFrame:
 
 def _count(group: pa.Table) -> pa.Table:
     """Of one fragment: each batch's documents' sums of log10(c + 1) and known tokens; a row of batch -1 with N and V."""
+    claim(_count, lambda: None)  # the encoder's memo goes
     column = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in group.column(c)]
     hashes, docs, times, spread = column("hashes", "<u8"), column("docs", "<u2"), column("times", "<u4"), column("spread", "<u2")
     _, same = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -290,7 +294,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, steps: int = 900, fragment_bytes:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     size, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((doc_bucket(modulus=MODULUS) != HELD).cast("long")), F.lit(0))).first()
-    dealt = scratch.save(deal(docs, tokenizer, max(1, math.ceil(size / fragment_bytes))), "dealt")
+    dealt = scratch.save(deal(docs, tokenizer, max(1, math.ceil(size / fragment_bytes))), "dealt", GROUP_BYTES)
     parts = scratch.save(dealt.filter("fragment >= 0").select("fragment", "batch", "hashes", "counts", "spread", "docs", "times").groupBy("fragment").applyInArrow(_count, _PARTS), "parts")
     words, kinds = parts.filter("batch = -1").agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("v"), F.lit(0.0))).first()
     vocabulary, prior, model = fit(dealt.filter("fragment = -1"), tokenizer, scratch, n_docs, steps)

@@ -69,9 +69,13 @@ class Scratch:
         fs.mkdirs(path)
         return self.path(name)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return it read back: this cuts the lineage."""
-        df.write.parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+        """Write df once and return it read back: this cuts the lineage. group_bytes: a file's row groups, each of which writers and
+        readers hold in memory, end there and are looked at after every row: for rows of megabytes."""
+        writer = df.write
+        if group_bytes:
+            writer = writer.option("parquet.block.size", group_bytes).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1)
+        writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

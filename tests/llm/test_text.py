@@ -310,6 +310,24 @@ def test_the_passes_take_every_training_token(spark, odd, monkeypatch):
     assert sum(n for _, n in seen) == sum(len(enc.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect() if not held(r["doc_id"]))
 
 
+def test_dealt_rows_lie_in_small_row_groups(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    letters = np.random.default_rng(0).choice(list("abcdefghijklmnop     "), (12, 60_000))
+    docs = spark.createDataFrame([(i, "".join(x)) for i, x in enumerate(letters)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 50_000)
+    monkeypatch.setattr(lm_score, "CHARS", 100_000)
+    saved = []
+    save = lm_score.Scratch.save
+    monkeypatch.setattr(lm_score.Scratch, "save", lambda self, df, name, *a: saved.append((self.path(name), name)) or save(self, df, name, *a))
+    lm_score.lm_scores(docs, WORD, steps=1).count()
+    path = next(p for p, name in saved if name == "dealt").removeprefix("file://")
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in glob.glob(f"{path}/*.parquet")]
+    assert max(groups) >= 6
+
+
 def test_attention_scores_each_token_once():
     from spillway.llm import attention as a
 
