@@ -2,7 +2,8 @@
 
 Both kinds of vocabulary used here split a text at white space before any merge, so the ids of a
 text are those of its parts in order. Parts are looked up. A new part that is one word of letters
-goes to the library's model in the form that its normalizer and pre-tokenizer give it; any other
+goes to the library's model in the form that its normalizer and pre-tokenizer give it, and so does, where
+blanks are kept, each piece of any other part of ASCII; what remains
 goes to the library's encode, as do whole texts whose white space makes the parts unsure.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import sys
 import unicodedata
 
@@ -31,6 +33,13 @@ def _byte_letters() -> list[str]:
 
 
 _SPELL = _byte_letters()
+_SPELL_ASCII = dict(enumerate(_SPELL[:128]))
+
+#: How the pre-tokenizer of byte-level vocabularies cuts ASCII without white space but a first blank.
+_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+")
+
+#: Pieces of ASCII of up to so many letters are remembered; there are few.
+_SHORT = 2
 
 
 def _spelled(word: str) -> str:
@@ -70,10 +79,12 @@ class Encoder:
         if sys.byteorder != "little":
             raise ValueError("ids are written as they lie in memory")
         self.kind = {2: "H", 4: "I"}[width]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.short = _Memo(self._piece)
         self._forget()
 
     def _forget(self) -> None:
-        self.first = _Memo(self._plain if self.blank else self._word)
+        self.first = _Memo(self._unspaced if self.blank else self._word)
         self.spaced = _Memo(self._after_blank)
 
     def _turn(self) -> None:
@@ -90,10 +101,22 @@ class Encoder:
 
     def _after_blank(self, part: str) -> bytes:
         if part.isalpha():
-            return self._bytes([t.id for t in self.model.tokenize(_SPELL[32] + _spelled(part))])
+            return array.array(self.kind, [t.id for t in self.model.tokenize(_SPELL[32] + (part if part.isascii() else _spelled(part)))]).tobytes()
         if part[-1:] in (",", ".") and part[:-1].isalpha():
             return self.spaced[part[:-1]] + self.first[part[-1]]
-        return self._plain(" " + part)
+        return self._cut(" " + part)
+
+    def _unspaced(self, part: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(_spelled(part))]) if part.isalpha() else self._cut(part)
+
+    def _cut(self, part: str) -> bytes:
+        """ids of a part with or without its blank, piece by piece where all is ASCII and no added token is in it."""
+        if not part.isascii() or part == "\n" or any(x in part for x in self.added):
+            return self._plain(part)
+        return b"".join([self.short[p] if len(p) <= _SHORT else self._piece(p) for p in _PIECES.findall(part)])
+
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(piece.translate(_SPELL_ASCII))])
 
     def _word(self, part: bytes) -> bytes:
         if part.isalpha():  # a to z alone, which nothing changes

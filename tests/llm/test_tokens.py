@@ -29,6 +29,25 @@ def test_encoder_equals_library(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [ids_of(path, t) for t in texts]
 
 
+PARTS = st.text(st.sampled_from("abS09'.,!@<|>-_\x00\x7fstredvml"), min_size=1, max_size=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(PARTS, st.sampled_from(["it's", "'re", "<|endoftext|>", "a<|endoftext|>b", "fnmi.24@mail4.example.com", "555-8176"])), min_size=1, max_size=5), st.sampled_from(" \n"))
+def test_pieces_of_ascii_equal_library(parts, between):
+    text = between.join(parts)
+    assert np.frombuffer(ENCODERS[BYTE].encode([text])[0], "<u4").tolist() == ids_of(BYTE, text)
+
+
+def test_ascii_needs_no_encode_of_single_parts(monkeypatch):
+    e, asked = Encoder(BYTE, True, 4), []
+    library = e._library
+    monkeypatch.setattr(e, "_library", lambda texts: asked.extend(texts) or library(texts))
+    text = "Call (716) 555-8176, or it's fnmi.24@mail4.example.com\nThe end!! 12.5%"
+    assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == ids_of(BYTE, text)
+    assert asked == ["\n"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=700))
 def test_elias_fano(steps):
