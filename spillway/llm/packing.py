@@ -144,11 +144,12 @@ class Bins:
     def _room_takes(self, room: int, but: int) -> tuple[int, int]:
         """The same of all bins with that room, without bin `but`."""
         if room not in self.room_takes or room == self.room[but]:
-            ones, twos = 0, 0
+            ones, twos, takes = 0, 0, self.takes
             for b in self.by_room[room]:
                 if b != but:
-                    one, two = self._takes(b)
-                    ones, twos = ones | one, twos | two
+                    one, two = takes.get(b) or self._takes(b)
+                    ones |= one
+                    twos |= two
             if room == self.room[but]:
                 return ones, twos
             self.room_takes[room] = (ones, twos)
@@ -177,21 +178,24 @@ class Bins:
         for k, i in enumerate(mine):
             for j in mine[k + 1 :]:
                 two.setdefault(self.lengths[i] + self.lengths[j], [i, j])
-        best, whole, mask = (0, 0, 0, [], True), self.size - self.room[a], self.mask & ((2 << self.room[a]) - 2)
+        gain, best, whole, mask = 0, (0, 0, [], True), self.size - self.room[a], self.mask & ((2 << self.room[a]) - 2)
         while mask:
             room = mask.bit_length() - 1
             mask ^= 1 << room
-            if best[0] >= min(room, whole):
+            if gain >= room or gain >= whole:
                 break
             ones, twos = self._room_takes(room, a)
             for outs, give in ((one, ones | twos), (two, ones)):
                 for n, out in outs.items():
-                    least = max(0, n - room)
-                    m = give >> least
-                    if m and n - (least + (m & -m).bit_length() - 1) > best[0]:
+                    if n <= gain:
+                        continue
+                    least = n - room if n > room else 0
+                    # only what is given back for less than n - gain is of use
+                    m = (give >> least) & ((1 << (n - gain - least)) - 1) if n - gain > least else 0
+                    if m:
                         least += (m & -m).bit_length() - 1
-                        best = (n - least, room, least, out, outs is one)
-        gain, room, m, out, both = best
+                        gain, best = n - least, (room, least, out, outs is one)
+        room, m, out, both = best
         if gain <= 0:
             return False
         for b in self.by_room[room]:

@@ -5,16 +5,22 @@ text are those of its parts in order. Parts are looked up. A new part that is on
 goes to the library's model in the form that its normalizer and pre-tokenizer give it, and so does, where
 blanks are kept, each piece of any other part of ASCII; what remains
 goes to the library's encode, as do whole texts whose white space makes the parts unsure.
+
+Where blanks are kept, the new parts of many texts go to the library's model in long rows, with letters
+between them that no merge takes; they merge as each would alone, and there are fewer calls.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import sys
 import unicodedata
 
+import numpy as np
+
 from .common import claim
 
 #: White space other than blanks and line feeds.
@@ -38,10 +44,55 @@ _SPELL_ASCII = dict(enumerate(_SPELL[:128]))
 #: How the pre-tokenizer of byte-level vocabularies cuts ASCII without white space but a first blank.
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+")
 
+#: Parts in a row for the library's model.
+_ROW = 200
+
+#: Letters of texts whose new parts are learnt together: few enough to stay near the processor.
+_TOGETHER = 250_000
+
+#: Between parts, and between the pieces of one, before rows are spelled.
+_BETWEEN, _WITHIN = "\0", "\1"
+
+#: Behind letters these are a part of their own.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK_BYTES = _MARKS.encode()
+
 #: Pieces of ASCII of up to so many letters are remembered; there are few.
 _SHORT = 2
 
 
+class _Rows:
+    """Ids of many parts by the library's model, a row of them at a time, for byte-level vocabularies that do not mark where words end."""
+
+    def __init__(self, path: str, model):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)["model"]
+        taken = {x for m in config["merges"] for x in (m.split(" ") if isinstance(m, str) else m)}
+        plain = config["type"] == "BPE" and not any(config.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.usable = plain and all(_SPELL[ord(x)] in config["vocab"] and _SPELL[ord(x)] not in taken for x in _BETWEEN + _WITHIN)
+        if self.usable:
+            self.tokenizer, self.letters = Tokenizer(model), np.array([ord(x) for x in _SPELL], "<u2")
+            self.between, self.within = (config["vocab"][_SPELL[ord(x)]] for x in (_BETWEEN, _WITHIN))
+
+    def __call__(self, parts: list[str], width: int) -> list[bytes]:
+        """parts: as they are, their pieces apart by _WITHIN, so that these do not merge with each other."""
+        if not parts:
+            return []
+        raw = np.frombuffer(_BETWEEN.join([*parts, ""]).encode(), np.uint8)
+        letters, ends = self.letters[raw], np.flatnonzero(raw == 0)
+        text, cuts = letters.tobytes().decode("utf-16-le"), [0, *(ends[_ROW - 1 :: _ROW] + 1).tolist(), len(letters)]
+        found = self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        ids = ids[ids != self.within]
+        ends = np.flatnonzero(ids == self.between)
+        if len(ends) != len(parts):
+            raise AssertionError("parts and their ids do not agree")
+        raw = ids.astype(f"<u{width}").tobytes()
+        return [raw[a:b] for a, b in zip((np.r_[0, ends[:-1] + 1] * width).tolist(), (ends * width).tolist(), strict=True)]
+
+
 def _spelled(word: str) -> str:
     return word if word.isascii() else "".join([_SPELL[b] for b in word.encode()])
 
@@ -81,6 +132,7 @@ class Encoder:
         self.kind = {2: "H", 4: "I"}[width]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.short = _Memo(self._piece)
+        self.rows = _Rows(path, self.model) if blank else None
         self._forget()
 
     def _forget(self) -> None:
@@ -90,6 +142,41 @@ class Encoder:
     def _turn(self) -> None:
         self.first, self.spaced = self.first.turn(), self.spaced.turn()
 
+    def _foresee(self, memo: _Memo, parts: set, form) -> None:
+        """Learn the parts that the memo lacks together. form(part): what goes to the model for it, or None; those are learnt one by one when
+        they are met, as are letters with marks behind them, once the letters are learnt."""
+        old, fresh, letters = memo.old, [], set()
+        for part in parts:
+            if part not in memo:
+                if (ids := old.get(part)) is not None:
+                    memo[part] = ids
+                elif not part.isalpha() and (base := part.rstrip(_MARKS)) != part and base.isalpha():
+                    letters.add(base)
+                else:
+                    fresh.append(part)
+        for part in letters:
+            if part not in memo and part not in parts:
+                if (ids := old.get(part)) is not None:
+                    memo[part] = ids
+                else:
+                    fresh.append(part)
+        forms = list(map(form, fresh))
+        if None in forms:
+            fresh = [p for p, x in zip(fresh, forms, strict=True) if x is not None]
+            forms = [x for x in forms if x is not None]
+        memo.update(zip(fresh, self.rows(forms, self.width), strict=True))
+
+    def _spaced_form(self, part: str) -> str | None:
+        return " " + part if part.isalpha() else self._cut_form(" " + part)
+
+    def _first_form(self, part: str) -> str | None:
+        return part if part.isalpha() else self._cut_form(part)
+
+    def _cut_form(self, part: str) -> str | None:
+        if not part.isascii() or not part.isprintable() or any(x in part for x in self.added):
+            return None
+        return _WITHIN.join(_PIECES.findall(part)) or None
+
     def _bytes(self, ids) -> bytes:
         return array.array(self.kind, ids).tobytes()
 
@@ -102,8 +189,9 @@ class Encoder:
     def _after_blank(self, part: str) -> bytes:
         if part.isalpha():
             return array.array(self.kind, [t.id for t in self.model.tokenize(_SPELL[32] + (part if part.isascii() else _spelled(part)))]).tobytes()
-        if part[-1:] in (",", ".") and part[:-1].isalpha():
-            return self.spaced[part[:-1]] + self.first[part[-1]]
+        base = part.rstrip(_MARKS)
+        if base != part and base.isalpha():
+            return self.spaced[base] + self.first[part[len(base) :]]
         return self._cut(" " + part)
 
     def _unspaced(self, part: str) -> bytes:
@@ -126,8 +214,9 @@ class Encoder:
             low = word if word.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
             if low.isalpha():
                 return self._bytes([t.id for t in self.model.tokenize(_spelled(low))])
-        if part[-1:] in (b",", b".") and word[:-1].isalpha() and "İ" not in word:  # its dot becomes a mark
-            return self.first[part[:-1]] + self.first[part[-1:]]
+        base = part.rstrip(_MARK_BYTES)
+        if base != part and base.decode().isalpha() and "İ" not in word:  # its dot becomes a mark
+            return self.first[base] + self.first[part[len(base) :]]
         return self._plain(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -136,7 +225,27 @@ class Encoder:
         if not self.blank:
             first = self.first.__getitem__
             return [b"".join(map(first, t.encode().lower().split())) for t in texts]
-        return [self._lines(t) for t in texts]
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > _TOGETHER:
+                out += self._kept(some)
+                some, size = [], 0
+        return out + self._kept(some)
+
+    def _kept(self, texts: list[str]) -> list[bytes]:
+        """ids of texts where blanks are kept."""
+        split = [self._split(t) for t in texts]
+        if self.rows.usable:
+            heads, rest = set(), set()
+            for lines in split:
+                for line in lines or ():
+                    heads.add(line[0])
+                    rest.update(line[1:])
+            self._foresee(self.spaced, rest, self._spaced_form)
+            self._foresee(self.first, heads, self._first_form)
+        return [self._plain(t) if lines is None else self._joined(lines) for t, lines in zip(texts, split, strict=True)]
 
     def words(self, parts: list[bytes]) -> list[bytes]:
         """ids of each part of a text that was cut at ASCII's white space, A to Z lowered; for a vocabulary without blanks."""
@@ -144,19 +253,19 @@ class Encoder:
             self._turn()
         return list(map(self.first.__getitem__, parts))
 
-    def _lines(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[list[str]] | None:
+        """The parts of each line, or None where they are not sure."""
         if not text:
-            return b""
+            return []
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return self._plain(text)
+            return None
         if any(c in text for c in _ASCII_SPACE) or not text.isascii() and any(c in text for c in _WIDE_SPACE):
-            return self._plain(text)
+            return None
+        return [line.split(" ") for line in text.split("\n")]
+
+    def _joined(self, lines: list[list[str]]) -> bytes:
         first, spaced = self.first, self.spaced.__getitem__
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(first[head] + b"".join(map(spaced, rest)))
-        return first["\n"].join(lines)
+        return first["\n"].join([first[head] + b"".join(map(spaced, rest)) for head, *rest in lines]) if lines else b""
 
 
 _ENCODERS: dict = {}

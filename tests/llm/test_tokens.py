@@ -48,6 +48,17 @@ def test_ascii_needs_no_encode_of_single_parts(monkeypatch):
     assert asked == ["\n"]
 
 
+def test_new_parts_go_to_the_model_in_rows(monkeypatch):
+    e, asked, alone = Encoder(BYTE, True, 4), [], []
+    library, piece, after = e._library, e._piece, e._after_blank
+    monkeypatch.setattr(e, "_library", lambda texts: asked.extend(texts) or library(texts))
+    monkeypatch.setattr(e, "_piece", lambda p: alone.append(p) or piece(p))
+    e.spaced.learn = lambda p: alone.append(p) or after(p)
+    texts = [f"head {a} élan{b} (x{i}) zorb-7# café{b}, it's{b}" for i, (a, b) in enumerate(zip(("ardoga", "ntérat", "über"), ("$$$", "!!", "'"), strict=True))] * 90
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [ids_of(BYTE, t) for t in texts]
+    assert asked == ["\n"] and all(not x[:1].isalpha() or x[-1] in "$!'," for x in alone)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=700))
 def test_elias_fano(steps):
