@@ -24,6 +24,9 @@ CONTEXT = 16
 #: Windows a step of a pass over the corpus. A pass takes every window, and every target of each.
 TOGETHER = 256
 
+#: Windows of a step that are worked on at a time, so that their numbers stay near the processor.
+PART = 128
+
 #: Steps in which a pass comes up to its rate, as its moments begin anew.
 SLOW = 30
 
@@ -129,104 +132,161 @@ class Model:
             self.p[k] = weights[at : at + n].reshape(self.p[k].shape).astype(np.float32)
             at += n
 
-    def hidden(self, u: np.ndarray, first: np.ndarray, begin: int = 0, many: int | None = None):
-        """What the layer makes of `many` (all: without it) of the last `stride` inputs of each window from `begin` on, and the steps to it. u: (windows, context + stride) input rows."""
+    def _tables(self) -> tuple[np.ndarray, ...]:
+        """Products of the embeddings with the layer's matrices: what asks, and what is asked, a column of ones beside the values; and the biases below their weights."""
         p, d = self.p, self.p["q"].shape[0]
-        end = begin + (self.stride if many is None else many)
-        u = u[:, : self.context + end]
-        keys = np.hstack([p["e"] @ p["k"], p["e"] @ p["v"]])[u]
-        k, v = keys[:, :, :d], keys[:, :, d:]
-        tail = p["e"][u[:, self.context + begin :]]
-        q = tail @ (p["q"] / np.float32(np.sqrt(d)))
-        a = q @ k.transpose(0, 2, 1)
-        a += (self.masks + p["far"][self.distance])[:, begin:end, : self.context + end][first]
-        a = _softmax(a)
-        mixed = a @ v
-        h = tail + mixed @ p["o"]
-        z = np.maximum(h @ p["w1"] + p["b1"], 0)
-        return h + z @ p["w2"], (u, tail, q, k, v, a, mixed, h, z)
+        query = np.hstack([p["e"] @ p["q"] / np.sqrt(d).astype(p["e"].dtype), p["e"]])
+        key = np.hstack([p["e"] @ p["k"], p["e"] @ (p["v"] @ p["o"]), np.ones((len(p["e"]), 1), p["e"].dtype)])
+        return query, key, self.masks[0] + p["far"][self.distance], np.vstack([p["w1"], p["b1"]])
+
+    def hidden(self, u: np.ndarray, first: np.ndarray, begin: int = 0, many: int | None = None, tables: tuple | None = None):
+        """What the layer makes of `many` (all: without it) of the last `stride` inputs of each window from `begin` on, and the steps to it. u: (windows, context + stride) input rows.
+
+        Attention is left as exponentials beside their sums. They are taken as they are; where one overflows, or all vanish, again with the
+        greatest taken off.
+        """
+        query, key, far, into = tables or self._tables()
+        many, d, context = self.stride - begin if many is None else many, query.shape[1] // 2, self.context
+        ask, held = query.take(u[:, context + begin : context + begin + many], axis=0), key.take(u[:, : context + begin + many], axis=0)
+        fresh, far = np.flatnonzero(first), far[begin : begin + many]
+        # the first half of a window's targets sees none of its last inputs
+        halves = [(i, j, context + begin + j) for i, j in ((0, many // 2), (many // 2, many)) if i < j]
+        mixed = np.empty((*ask.shape[:2], d + 1), key.dtype)
+        for safe in (False, True):
+            weights = []
+            for i, j, seen in halves:
+                a = ask[:, i:j, :d] @ held[:, :seen, :d].transpose(0, 2, 1)
+                a += far[i:j, :seen]
+                a[fresh, :, :context] = -1e9
+                if safe:
+                    a -= a.max(axis=2, keepdims=True)
+                with np.errstate(all="ignore"):
+                    np.exp(a, out=a)
+                    mixed[:, i:j] = a @ held[:, :seen, d:]
+                weights.append(a)
+            if np.isfinite(mixed[:, :, d]).all() and mixed[:, :, d].min(initial=1) > 1e-30:
+                break
+        total = mixed[:, :, d:].copy()
+        mixed /= total
+        h = mixed.copy()
+        h[:, :, :d] += ask[:, :, d:]
+        z = h.reshape(-1, d + 1) @ into
+        np.maximum(z, 0, out=z)
+        f = z @ self.p["w2"]
+        f += h.reshape(-1, d + 1)[:, :d]
+        return f.reshape(ask.shape[0], many, d), (ask, held, halves, weights, total, mixed[:, :, :d], h.reshape(-1, d + 1), z)
 
     def step(self, prior: Prior, u: np.ndarray, first: np.ndarray, before: np.ndarray, target: np.ndarray, live: np.ndarray, begin: int = 0) -> tuple[float, dict]:
-        """Mean loss over the live targets, and its gradient. before, target, live: (windows, many) of the targets from `begin` on."""
-        p, d = self.p, self.p["q"].shape[0]
-        many = target.shape[1]
-        f, (u, tail, q, k, v, a, mixed, h, z) = self.hidden(u, first, begin, many)
+        """Mean loss over the live targets, and its gradient. before, target, live: (windows, many) of the targets from `begin` on.
+
+        PART windows are worked on at a time. Gradients are summed by input row before they go through the layer's matrices.
+        """
+        p, d, many, kind = self.p, self.p["q"].shape[0], target.shape[1], self.p["e"].dtype
+        u = u[:, : self.context + begin + many]
+        tail, tables = u[:, self.context + begin :], self._tables()
+        group, classes = np.vstack([p["g"], p["bg"]]), np.concatenate([p["c"], p["bc"][:, None]], axis=1)
+        w1, w2 = np.ascontiguousarray(p["w1"].T), np.ascontiguousarray(p["w2"].T)
         n = max(1, int(live.sum()))
-        b, t = np.nonzero(live)
-        own, of, place, was = f[b, t], target[b, t] // self.group, target[b, t] % self.group, before[b, t]
-        every = np.arange(len(b))
-        # targets of one group lie together
-        order = np.argsort(of.astype(np.int16), kind="stable")
-        b, t, own, of, place, was = b[order], t[order], own[order], of[order], place[order], was[order]
-        every, groups = np.arange(len(b)), range(len(p["bg"]))
-        cuts = np.searchsorted(of, np.arange(len(p["bg"]) + 1)).tolist()
-        odds = own @ p["g"]
-        odds += (prior.group + p["bg"])[was]
-        odds = _softmax(odds)
-        inner = prior.inner[was, of] + p["bc"][of]
-        for i in groups:
-            inner[cuts[i] : cuts[i + 1]] += own[cuts[i] : cuts[i + 1]] @ p["c"][i]
-        inner = _softmax(inner)
-        loss = -np.log(odds[every, of] + 1e-9).sum() - np.log(inner[every, place] + 1e-9).sum()
-        odds[every, of] -= 1
-        inner[every, place] -= 1
-        odds /= np.float32(n)
-        inner /= np.float32(n)
-        grad = {"c": np.zeros_like(p["c"]), "bc": np.zeros_like(p["bc"]), "g": own.T @ odds, "bg": odds.sum(axis=0)}
-        back = odds @ p["g"].T
-        for i in groups:
-            x, y = cuts[i], cuts[i + 1]
-            if x < y:
-                grad["c"][i], grad["bc"][i] = own[x:y].T @ inner[x:y], inner[x:y].sum(axis=0)
-                back[x:y] += inner[x:y] @ p["c"][i].T
-        df = np.zeros_like(f)
-        df[b, t] = back
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        dz = flat(df) @ p["w2"].T
-        dz *= flat(z) > 0
-        grad |= {"w2": flat(z).T @ flat(df), "w1": flat(h).T @ dz, "b1": dz.sum(axis=0)}
-        dh = flat(df) + dz @ p["w1"].T
-        grad["o"] = flat(mixed).T @ dh
-        dm = (dh @ p["o"].T).reshape(f.shape)
-        ds = dm @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ dm
-        ds -= np.einsum("wij,wij->wi", ds, a)[:, :, None]
-        ds *= a
-        seen = self.distance[begin : begin + many, : u.shape[1]]
-        grad["far"] = np.bincount(seen.ravel(), ds.sum(axis=0).ravel(), len(p["far"])).astype(np.float32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        s = np.float32(1 / np.sqrt(d))
-        grad["q"] = flat(tail).T @ flat(dq) * s
-        by_row = _sum_rows(u.ravel(), np.concatenate([flat(dk), flat(dv)], axis=1), len(p["e"]))
-        grad |= {"k": p["e"].T @ by_row[:, :d], "v": p["e"].T @ by_row[:, d:]}
-        grad["e"] = by_row[:, :d] @ p["k"].T + by_row[:, d:] @ p["v"].T
-        dh += flat(dq) @ (p["q"].T * s)
-        grad["e"] += _sum_rows(u[:, self.context + begin :].ravel(), dh, len(p["e"]))
+        loss, scale = 0.0, np.float32(1 / n)
+        grad = {"c": np.zeros_like(classes), "g": np.zeros_like(group), "w1": np.zeros((d + 1, w2.shape[1]), kind), "w2": np.zeros_like(p["w2"])}
+        by_query, by_key, by_far = np.empty((*tail.shape, 2 * d), kind), np.empty((*u.shape, 2 * d), kind), np.zeros((many, u.shape[1]), kind)
+        for at in range(0, len(u), PART):
+            some = slice(at, at + PART)
+            f, (ask, held, halves, weights, total, mixed, h, z) = self.hidden(u[some], first[some], begin, many, tables)
+            lost, back, by_group, by_class = _outputs(f.reshape(-1, d), group, classes, prior, before[some], target[some], live[some], self.group, scale)
+            loss += lost
+            grad["g"] += by_group
+            grad["c"] += by_class
+            grad["w2"] += z.T @ back
+            dz = back @ w2
+            dz *= z > 0
+            grad["w1"] += h.T @ dz
+            back += dz @ w1
+            dh = back.reshape(f.shape)
+            by_query[some, :, d:] = dh
+            dh = dh / total
+            even = np.einsum("wij,wij->wi", dh, mixed)[:, :, None]
+            for a, (i, j, seen) in reversed(list(zip(weights, halves, strict=True))):
+                ds = dh[:, i:j] @ held[:, :seen, d : 2 * d].transpose(0, 2, 1)
+                ds -= even[:, i:j]
+                ds *= a
+                by_far[i:j, :seen] += ds.sum(axis=0)
+                by_query[some, i:j, :d] = ds @ held[:, :seen, :d]
+                to_key, to_value = ds.transpose(0, 2, 1) @ ask[:, i:j, :d], a.transpose(0, 2, 1) @ dh[:, i:j]
+                if j == many:
+                    by_key[some, :, :d], by_key[some, :, d:] = to_key, to_value
+                else:
+                    by_key[some, :seen, :d] += to_key
+                    by_key[some, :seen, d:] += to_value
+        grad["far"] = np.bincount(self.distance[begin : begin + many, : u.shape[1]].ravel(), by_far.ravel(), len(p["far"])).astype(kind)
+        asks, keys = (_sum_rows(rows.ravel(), x.reshape(-1, 2 * d), len(p["e"])) for rows, x in ((tail, by_query), (u, by_key)))
+        asked, weighed = asks[:, :d] / np.sqrt(d).astype(kind), p["e"].T @ keys[:, d:]
+        grad |= {"q": p["e"].T @ asked, "k": p["e"].T @ keys[:, :d], "v": weighed @ p["o"].T, "o": p["v"].T @ weighed}
+        grad["e"] = asks[:, d:] + asked @ p["q"].T + keys[:, :d] @ p["k"].T + keys[:, d:] @ (p["v"] @ p["o"]).T
+        for k, bias in (("w1", "b1"), ("g", "bg")):
+            grad[k], grad[bias] = grad[k][:-1], grad[k][-1]
+        grad["c"], grad["bc"] = grad["c"][:, :-1], grad["c"][:, -1]
         return float(loss / n), grad
 
 
-def _sum_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the values of equal rows, for rows 0 .. n - 1."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(rows):
-        order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")  # two bytes are sorted by radix
-        starts = np.flatnonzero(np.r_[True, np.diff(rows[order]) > 0])
-        rows = rows[order]
-        out[rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
-    return out
+def _outputs(f: np.ndarray, group: np.ndarray, classes: np.ndarray, prior: Prior, before: np.ndarray, target: np.ndarray, live: np.ndarray, size: int, scale: np.float32) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The sum of the live targets' losses, and `scale` times its gradients: by the layer's values f, by the groups' weights and by the classes', whose last row is the biases."""
+    at = np.flatnonzero(live)
+    # targets of one group lie together
+    at = at[np.argsort((target.ravel()[at] // size).astype(np.int16), kind="stable")]
+    of, place = np.divmod(target.ravel()[at], size)
+    was, every = before.ravel()[at].astype(np.intp), np.arange(len(at))
+    own = np.ones((len(at), f.shape[1] + 1), f.dtype)
+    own[:, :-1] = f.take(at, axis=0)
+    cuts = np.searchsorted(of, np.arange(len(classes) + 1)).tolist()
+    parts = [(i, x, y) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+    odds = own @ group
+    odds += prior.group.take(was, axis=0)
+    inner = np.empty((len(at), prior.inner.shape[2]), f.dtype)
+    for i, x, y in parts:
+        np.matmul(own[x:y], classes[i], out=inner[x:y])
+    inner += prior.inner.reshape(-1, inner.shape[1]).take(was * prior.inner.shape[1] + of, axis=0)
+    loss = 0.0
+    for x, hit in ((odds, of), (inner, place)):
+        total = _exponentials(x)
+        loss -= np.log(x[every, hit] / total + 1e-9).sum()
+        x *= (scale / total)[:, None]
+        x[every, hit] -= scale
+    by_class, back = np.zeros_like(classes), odds @ np.ascontiguousarray(group[:-1].T)
+    turned = np.ascontiguousarray(classes[:, :-1].transpose(0, 2, 1))
+    for i, x, y in parts:
+        np.matmul(own[x:y].T, inner[x:y], out=by_class[i])
+        back[x:y] += inner[x:y] @ turned[i]
+    out = np.zeros_like(f)
+    out[at] = back
+    return loss, out, own.T @ odds, by_class
+
+
+#: Rows whose sums one product makes.
+_TOGETHER = 16
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of the last axis. Exponentials are taken as they are; where one overflows, or all vanish, again with the greatest taken off."""
-    ones = np.ones(x.shape[-1], x.dtype)
-    with np.errstate(all="ignore"):
-        y = np.exp(x)
-        total = y @ ones
-    if not (np.isfinite(total) & (total > 1e-30)).all():
-        y = np.exp(x - x.max(axis=-1, keepdims=True))
-        total = y @ ones
-    y /= total[..., None]
-    return y
+def _sum_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the values of equal rows, for rows 0 .. n - 1: products of which row each value is of, a few rows at a time, with the values."""
+    out = np.zeros((-(-n // _TOGETHER), _TOGETHER, values.shape[1]), values.dtype)
+    block = rows // _TOGETHER
+    order = np.argsort(block.astype(np.uint16) if n <= 1 << 16 else block, kind="stable")  # two bytes are sorted by radix
+    is_of = np.zeros((len(rows), _TOGETHER), values.dtype)
+    is_of.ravel()[np.arange(0, is_of.size, _TOGETHER) + rows[order] % _TOGETHER] = 1
+    values = values.take(order, axis=0)
+    cuts = np.searchsorted(block[order], np.arange(len(out) + 1)).tolist()
+    for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if x < y:
+            out[i] = is_of[x:y].T @ values[x:y]
+    return out.reshape(-1, values.shape[1])[:n]
+
+
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """In place; their sums over the last axis. The greatest is taken off first where one could overflow, or all vanish."""
+    if x.max(initial=0) > 80 or x[:, 0].min(initial=0) < -60:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def inputs_of(ids: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
@@ -321,12 +381,7 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, vocabu
     inner, before = vocabulary.inner[ids], before_of(ids, lengths, vocabulary)
     of, place = (target // model.group).astype(np.int16), target % model.group
     p, context, d = model.p, model.context, model.p["q"].shape[0]
-    far = model.masks[0] + p["far"][model.distance]
-    root = np.float32(1 / np.sqrt(d))
-    query = np.hstack([p["e"] @ p["q"] * root, p["e"]])
-    # a column of ones beside the values makes the sum of the weights
-    key = np.hstack([p["e"] @ p["k"], p["e"] @ (p["v"] @ p["o"]), np.ones((len(p["e"]), 1), np.float32)])
-
+    query, key, far, into = model._tables()
     group_prior, inner_prior = prior.group + p["bg"], np.ascontiguousarray((prior.inner + p["bc"]).transpose(1, 0, 2))
 
     def log_odds(f: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
@@ -341,10 +396,9 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, vocabu
     # the first half of a window's targets sees none of its last inputs
     half = model.stride // 2
     halves = [(0, half, context + half), (half, model.stride, context + model.stride)]
-    into = np.vstack([p["w1"], p["b1"]])
 
     def value(u: np.ndarray, first: np.ndarray, y: np.ndarray, safe: bool) -> np.ndarray:
-        ask, held, fresh = query[u[:, context:]], key[u], np.flatnonzero(first)
+        ask, held, fresh = query.take(u[:, context:], axis=0), key.take(u, axis=0), np.flatnonzero(first)
         f = np.ones((*ask.shape[:2], d + 1), np.float32)
         for i, j, seen in halves:
             a = ask[:, i:j, :d] @ held[:, :seen, :d].transpose(0, 2, 1)
@@ -362,12 +416,12 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, vocabu
         f = f[:, :d] + z @ p["w2"]
         group = of[y]
         order = np.argsort(group, kind="stable")
-        f, sorted_place, was = f[order], place[y[order]], before[y[order]]
-        got = log_odds(f, p["g"], group_prior[was], group[order], safe)
+        f, sorted_place, was = f.take(order, axis=0), place[y[order]], before[y[order]]
+        got = log_odds(f, p["g"], group_prior.take(was, axis=0), group[order], safe)
         cuts = np.searchsorted(group[order], np.arange(len(p["bg"]) + 1))
         for g, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if j > i:
-                got[i:j] += log_odds(f[i:j], p["c"][g], inner_prior[g][was[i:j]], sorted_place[i:j], safe)
+                got[i:j] += log_odds(f[i:j], p["c"][g], inner_prior[g].take(was[i:j], axis=0), sorted_place[i:j], safe)
         back = np.empty(len(y))
         back[order] = got
         return back + inner[y]

@@ -359,6 +359,25 @@ def test_attention_scores_each_token_once():
         at += n
 
 
+@pytest.mark.parametrize("loud", [1, 1000])
+def test_a_step_is_the_same_in_parts(monkeypatch, loud):
+    from spillway.llm import attention as a
+
+    r = np.random.default_rng(3)
+    m = a.Model(41, 30, dim=6, hidden=8, stride=5, context=3, group=4)
+    m.p["q"] *= loud  # exponentials overflow, and are taken again
+    m.p["bg"] += loud - 1
+    prior = a.Prior(r.integers(0, 9, (31, 30)), group=4)
+    cut = (prior, r.integers(0, 41, (70, 8)), r.integers(0, 2, 70), r.integers(0, 31, (70, 5)), r.integers(0, 30, (70, 5)), r.random((70, 5)) < 0.8)
+    monkeypatch.setattr(a, "PART", 70)
+    loss, whole = m.step(*cut)
+    monkeypatch.setattr(a, "PART", 16)
+    again, parts = m.step(*cut)
+    assert np.isfinite(loss) and again == pytest.approx(loss, rel=1e-5) and set(whole) == set(parts) == set(m.p)
+    for k, x in whole.items():
+        assert np.isfinite(x).all() and x.shape == m.p[k].shape and np.allclose(x, parts[k], atol=1e-5 * max(1, np.abs(x).max())), k
+
+
 @pytest.mark.parametrize(("begin", "many"), [(0, 3), (1, 2), (2, 1)])
 def test_gradient(begin, many):
     from spillway.llm import attention as a
